@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.llm.groups import consolidated
+from twinlake.llm.mixing import mixture
+from twinlake.llm.packing import fill_report, packed
 from twinlake.llm.setjoin import similar_projects
 from twinlake.llm.survivors import best_members
+from twinlake.llm.tokens import sized_documents
 from twinlake.session import table
 
 
@@ -55,5 +58,37 @@ c AS (SELECT a.root AS root_a, b.root AS root_b, count(*) AS c FROM t a JOIN t b
 SELECT root_a, root_b FROM c JOIN n x ON x.root = root_a JOIN n y ON y.root = root_b WHERE c / (x.n + y.n - c) >= 0.6
 """
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p7_found": p7_found}
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's pieces with their container of 2,048 tokens, place in it and step group."""
+    return packed(sized_documents(table(spark, sf_dir, "documents")))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of ``p8_packed`` are."""
+    return fill_report(p8_packed(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(sized_documents(table(spark, sf_dir, "documents"), "source"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of texts in each filled slot of each output shard."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source its target share and what the selection reaches."""
+    return _mixture(spark, sf_dir)[1]
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p7_found": p7_found,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
+    "p9_mixed": p9_mixed,
+    "p9_shares": p9_shares,
+}
 ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
