@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.llm.groups import consolidated
 from twinlake.llm.mixing import mixture
+from twinlake.llm.names import same_performers_and_albums
 from twinlake.llm.packing import fill_report, packed
 from twinlake.llm.setjoin import similar_projects
 from twinlake.llm.survivors import best_members
@@ -27,6 +28,11 @@ SELECT path, min(other) AS group_path FROM reach GROUP BY path
 """
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spellings that mean the same performer or album."""
+    return same_performers_and_albums(table(spark, sf_dir, "signal_sets"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surviving member of each duplicate group."""
     return best_members(table(spark, sf_dir, "group_members"))
@@ -84,6 +90,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
     "p4_found": p4_found,
     "p7_found": p7_found,
     "p8_packed": p8_packed,
