@@ -9,6 +9,7 @@ from twinlake.llm.mixing import mixture
 from twinlake.llm.names import same_performers_and_albums
 from twinlake.llm.packing import fill_report, packed
 from twinlake.llm.setjoin import similar_projects
+from twinlake.llm.subjects import composition, subjects_of
 from twinlake.llm.survivors import best_members
 from twinlake.llm.tokens import sized_documents
 from twinlake.session import table
@@ -88,6 +89,20 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def _subject_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of each text: those of about a fifth of its sentences or more."""
+    return subjects_of(*_subject_tables(spark, sf_dir))
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts are on each subject."""
+    return composition(*_subject_tables(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p3_found": p3_found,
@@ -97,5 +112,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p9_mixed": p9_mixed,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
