@@ -189,7 +189,11 @@ def align(a: list[str], b: list[str], people: bool) -> tuple[float, list[str]] |
         if total >= _NEVER:
             continue
         pairs = [(x[i], b[to[i]]) for i in range(len(x)) if to[i] < len(b)]
-        if not any(min(len(p), len(q)) >= 3 and token_cost(p, q, people) <= TYPO and (p not in NICKNAMES or not people) for p, q in pairs):
+        shared = [i for i, (p, q) in enumerate(pairs) if min(len(p), len(q)) >= 3 and token_cost(p, q, people) <= TYPO and (p not in NICKNAMES or not people)]
+        if not shared:
+            continue
+        # With an initial left over, another word must agree: "M. Smith" isn't "W. M. Smith".
+        if (len(pairs) < n) and not any(i != shared[0] and max(len(p), len(q)) > 1 for i, (p, q) in enumerate(pairs)):
             continue
         means = sorted(q for p, q in pairs if len(p) == 1 and len(q) > 1) + sorted(q for p, q in pairs if people and p in NICKNAMES and p != q and len(q) > 1)
         if best is None or total < best[0]:
