@@ -19,7 +19,7 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest(table(spark, sf_dir, "files").filter("snapshot_id = 4 AND path IS NOT NULL"), ["path"], "delivered_at", COLUMNS)
 
 
-INV = "inv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY delivered_at DESC) AS rn FROM files WHERE snapshot_id = 4 AND path IS NOT NULL) WHERE rn = 1)"
+INV = "inv AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY delivered_at DESC, etag DESC NULLS LAST) AS rn FROM files WHERE snapshot_id = 4 AND path IS NOT NULL) WHERE rn = 1)"
 BASE = "regexp_extract(path, '([^/]*)$', 1)"
 SUFFIX = f"lower(regexp_extract({BASE}, '[^.].*?(\\.[^.]+)$', 1))"
 DEPTH = "(len(list_filter(string_split(path, '/'), lambda p: p <> '')) + CASE WHEN starts_with(path, '/') THEN 1 ELSE 0 END)"
