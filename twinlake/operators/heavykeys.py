@@ -17,8 +17,9 @@ def running_offsets(df: DataFrame, keys: Sequence[str], weight: Column | None =
     Exact offsets: weights are summed per key and input partition, those sums are added up over the
     partitions before, and a row's value is its partition's offset plus the running sum within the
     partition, in ``order``. No task sees more of a key than one input partition holds of it. ``df``
-    must come out of an exchange with a stated number of partitions or straight from storage, so
-    that its partitions are the same each time they are read. A null key is a key of its own.
+    must come straight from storage, written rows (``session.cut``) or a hash exchange with a stated
+    number of partitions, so that its partitions are the same each time they are read; round-robin and
+    range exchanges aren't, as they depend on the columns read. A null key is a key of its own.
     """
     keys = list(keys)
     at = df.withColumn("_part", F.spark_partition_id()).withColumn("_w", F.lit(1).cast("bigint") if weight is None else weight.cast("bigint"))
