@@ -19,8 +19,8 @@ TOPICS, PASSES, ROUNDS, ROUND_DOCS = 64, 2, 60, 1024
 COMMON_SHARE = 0.2
 #: A word needs this share of all documents, and five of them, to be in the vocabulary.
 RARE_SHARE = 0.001
-#: Terms by which a topic is known; labels that a topic's subject counts for; share at which a word speaks for a subject.
-TOP_TERMS, TOPIC_WEIGHT, SPEAKS = 25, 4.0, 0.4
+#: Terms by which a topic is known; labels that a topic's subject counts for; how far above chance a word speaks for a subject.
+TOP_TERMS, TOPIC_WEIGHT, SPEAKS = 25, 4.0, 0.34
 #: Share of sentences from which a text is on a subject: a fifth, with room for one sentence missed in thirty.
 SENTENCE_SHARE = 0.17
 
@@ -130,7 +130,8 @@ def fitted_lexicon(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         for w in {fold(w) for w in _WORD.findall(text.lower())} & index.keys():
             counts[index[w], at[s]] += 1
     weights = subject_weights(topic_words, counts / sizes * sizes.mean())
-    return subjects, {w: [(int(s), float(weights[i, s])) for s in np.flatnonzero(weights[i] >= SPEAKS)] for i, w in enumerate(vocabulary) if weights[i].max() >= SPEAKS}
+    least = 1 / len(subjects) + SPEAKS * (1 - 1 / len(subjects))
+    return subjects, {w: [(int(s), float(weights[i, s])) for s in np.flatnonzero(weights[i] >= least)] for i, w in enumerate(vocabulary) if weights[i].max() >= least}
 
 
 def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]]) -> dict[int, float]:
