@@ -49,7 +49,7 @@ def sound_print(text: Column) -> Column:
             out = []
             for p in b:
                 try:
-                    raw = base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))
+                    raw = base64.b64decode(p + "=" * (-len(p) % 4), altchars=b"-_", validate=True)
                     out.append(np.frombuffer(raw, dtype="<u4").astype("int64").tolist() if len(raw) % 4 == 0 else None)
                 except (TypeError, ValueError):
                     out.append(None)

@@ -115,12 +115,12 @@ def classified(signals: DataFrame, rules=L.RULES, confident: float = CONFIDENT,
         options.append(F.struct((-score).alias("s"), F.lit(-precedence).alias("p"), F.lit(-template.count("{")).alias("t"), F.lit(name).alias("rule"), F.lit(domain).alias("domain"), _fill(template).alias("subfolder")))
     ranked = F.array_sort(F.filter(F.array(*options), lambda o: o["s"] < 0))
     rows = signals.withColumn("_r", ranked).withColumn("_best", F.try_element_at("_r", F.lit(1)))
-    score = F.least(-F.col("_best.s"), F.lit(1.0))
+    score = F.coalesce(F.when(F.col("_best").isNotNull(), F.least(-F.col("_best.s"), F.lit(1.0))), F.lit(0.0))
     sure, hint = score >= confident, score >= hinted
     domain = F.when(sure, F.col("_best.domain")).otherwise("Unsorted")
     folder = F.when(sure, F.col("_best.subfolder")).when(hint, F.col("_best.domain")).otherwise("")
     others = F.transform(F.slice("_r", 2, 3), lambda o: F.struct(o["domain"].alias("domain"), o["subfolder"].alias("subfolder"), F.least(-o["s"], F.lit(1.0)).alias("confidence")))
-    return rows.withColumns({"domain": domain, "subfolder": folder, "confidence": F.coalesce(score, F.lit(0.0)), "rule": F.when(hint, F.col("_best.rule")), "alternatives": others}).drop("_r", "_best")
+    return rows.withColumns({"domain": domain, "subfolder": folder, "confidence": score, "rule": F.when(hint, F.col("_best.rule")), "alternatives": others}).drop("_r", "_best")
 
 
 def destination(domain: Column, subfolder: Column, name: Column) -> Column:

@@ -110,9 +110,9 @@ _OPTIONS = ", ".join(
     for name, domain, template, precedence, tests in L.RULES
 )
 _ORGANIZED = f"""{_MERGED}, opt AS (SELECT path, list_sort(list_filter([{_OPTIONS}], lambda o: o.s < 0)) AS r FROM merged),
-best AS (SELECT path, r, least(-r[1].s, 1.0) AS score FROM opt),
+best AS (SELECT path, r, CASE WHEN len(r) > 0 THEN least(-r[1].s, 1.0) ELSE 0.0 END AS score FROM opt),
 org AS (SELECT path, CASE WHEN score >= 0.75 THEN r[1].domain ELSE 'Unsorted' END AS domain, CASE WHEN score >= 0.75 THEN r[1].subfolder WHEN score >= 0.4 THEN r[1].domain ELSE '' END AS subfolder,
-  coalesce(score, 0.0) AS confidence, CASE WHEN score >= 0.4 THEN r[1].rule END AS rule, array_to_string([o.domain for o in r[2:4]], ',') AS others FROM best)"""
+  score AS confidence, CASE WHEN score >= 0.4 THEN r[1].rule END AS rule, array_to_string([o.domain for o in r[2:4]], ',') AS others FROM best)"""
 _FOLDERS = f"""{_ORGANIZED}, pl AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, domain, subfolder, count(*) AS n FROM org GROUP BY ALL),
 tp AS (SELECT folder, CAST(sum(n) AS BIGINT) AS n_files, min({{'n': -n, 'domain': domain, 'subfolder': subfolder}}) AS b, bool_or(starts_with(subfolder, 'Music/')) AS music, bool_or(starts_with(subfolder, 'Books')) AS books FROM pl GROUP BY 1),
 fold AS (SELECT folder, n_files, -b.n AS n_dominant, concat_ws('/', nullif(b.domain, ''), nullif(b.subfolder, '')) AS destination,
