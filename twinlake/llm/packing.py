@@ -102,28 +102,25 @@ def packed(df: DataFrame, capacity: int = CAPACITY, tiers: int = TIERS, step_con
     segments, windows = plan(histogram, capacity, tiers)
 
     shares = [1 << (tiers - 1 - t) for t in range(tiers)]  # a window's size in windows of the last tier
-    base = np.concatenate([[0], np.cumsum([w * s for w, s in zip(windows, shares)])])
+    base = np.cumsum([0, *(w * s for w, s in zip(windows, shares))])
     containers = -(-int(base[-1]) // shares[0])
     steps = max(1, -(-containers // step_containers))
-    by_length: dict[int, list[Segment]] = {}
-    for s in segments:
-        by_length.setdefault(s.length, []).append(s)
-    firsts = {n: np.array([s.first for s in group]) for n, group in by_length.items()}
+    segments.sort(key=lambda s: (s.length, s.first))
+    length, first, tier, window, copies = (np.array([getattr(s, c) for s in segments], dtype=np.int64) for c in ("length", "first", "tier", "window", "copies"))
+    keys = (length << 44) + first
+    offsets = np.array([o for s in segments for o in s.offsets], dtype=np.int64)
+    begin = np.cumsum([0, *(len(s.offsets) for s in segments)])
+    share = np.array(shares, dtype=np.int64)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for n, rows in b.groupby("piece_tokens", sort=False):
-                rank, group = rows["row_no"].to_numpy(), by_length[int(n)]
-                which = np.searchsorted(firsts[int(n)], rank, side="right") - 1
-                for i in np.unique(which):
-                    s, mine = group[i], rows[which == i]
-                    r = rank[which == i] - s.first
-                    slot = base[s.tier] + (s.window + r % s.copies) * shares[s.tier]
-                    container = slot // shares[0]
-                    start = (slot % shares[0]) * (capacity // shares[0]) + np.array(s.offsets)[r // s.copies]
-                    parts.append(mine.drop(columns="row_no").assign(tier=s.tier, container_id=container, container_start=start.astype("int32"), step_group=container % steps))
-            yield pd.concat(parts) if parts else pd.DataFrame(columns=["doc_id", "piece_no", "piece_start", "piece_tokens", "tier", "container_id", "container_start", "step_group"])
+            rank = b["row_no"].to_numpy(dtype=np.int64)
+            at = np.searchsorted(keys, (b["piece_tokens"].to_numpy(dtype=np.int64) << 44) + rank, side="right") - 1
+            r = rank - first[at]
+            slot = base[tier[at]] + (window[at] + r % copies[at]) * share[tier[at]]
+            container = slot // shares[0]
+            start = (slot % shares[0]) * (capacity // shares[0]) + offsets[begin[at] + r // copies[at]]
+            yield b.drop(columns="row_no").assign(tier=tier[at].astype("int32"), container_id=container, container_start=start.astype("int32"), step_group=container % steps)
 
     schema = f"doc_id {df.schema['doc_id'].dataType.simpleString()}, piece_no int, piece_start bigint, piece_tokens int, tier int, container_id bigint, container_start int, step_group bigint"
     placed = running_offsets(pieces.filter("piece_tokens > 0"), ["piece_tokens"], order=[F.col("doc_id"), F.col("piece_no")]).mapInPandas(place, schema)
