@@ -9,18 +9,19 @@ from twinlake.functions import paths as P
 from twinlake.operators import inventory, similarity
 from twinlake.plans.inventory import INV, SUFFIX, current
 
-_KIND = F.pmod(F.length("path"), F.lit(3))
+def _kind():
+    return F.pmod(F.length("path"), F.lit(3))
 
 
 def _code():
     """A digest with some bits changed by the path's length, as a re-encoded picture's hash would have."""
     h = F.col("full_hash")
-    return F.when(_KIND == 1, F.concat(F.translate(F.substring(h, 1, 2), "0123456789abcdef", "1032547698badcfe"), F.substring(h, 3, 62))).when(_KIND == 2, F.concat(F.substring(h, 1, 62), F.translate(F.substring(h, 63, 2), "0123456789abcdef", "2301674589cdabef"))).otherwise(h)
+    return F.when(_kind() == 1, F.concat(F.translate(F.substring(h, 1, 2), "0123456789abcdef", "1032547698badcfe"), F.substring(h, 3, 62))).when(_kind() == 2, F.concat(F.substring(h, 1, 62), F.translate(F.substring(h, 63, 2), "0123456789abcdef", "2301674589cdabef"))).otherwise(h)
 
 
 def _media(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     suffixes = {"image": P.IMAGE_SUFFIXES, "audio": P.AUDIO_SUFFIXES, "video": P.VIDEO_SUFFIXES}[kind]
-    return current(spark, sf_dir).filter(P.suffix(F.col("path")).isin(*suffixes) & ~F.col("is_archive_member")).select("path", "size", F.concat_ws(":", "full_hash", _KIND.cast("string")).alias("full_hash"), _code().alias("code"), (F.pmod(F.col("size"), F.lit(400)) / 2.0).alias("duration"))
+    return current(spark, sf_dir).filter(P.suffix(F.col("path")).isin(*suffixes) & ~F.col("is_archive_member")).select("path", "size", F.concat_ws(":", "full_hash", _kind().cast("string")).alias("full_hash"), _code().alias("code"), (F.pmod(F.col("size"), F.lit(400)) / 2.0).alias("duration"))
 
 
 _CODE = """CASE length(path) % 3 WHEN 1 THEN translate(substr(full_hash, 1, 2), '0123456789abcdef', '1032547698badcfe') || substr(full_hash, 3, 62)
