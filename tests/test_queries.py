@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test table
 def _value(x):
     if hasattr(x, "tolist"):
         x = x.tolist()
-    if x is None or x != x or str(x) in ("NaT", "<NA>"):
+    if x is None or str(x) in ("nan", "NaT", "<NA>"):
         return None
     return round(float(x), 8) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
