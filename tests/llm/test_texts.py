@@ -158,3 +158,17 @@ def test_subjects_on_held_out_texts(spark):
     held = [i for i in range(400, 600)]
     assert sum(found[i] == truth[i] for i in held) >= 0.95 * len(held)
     assert rows(S.subjects_of(documents.limit(0), given, areas)) == []
+
+
+def test_topics_say_what_a_word_is_on_whatever_the_number_of_labels():
+    """A word of two topics follows the topics of its document, with ten times the labels too."""
+    words = ["dough", "flour", "mast", "rudder", "bow"]
+    topic_words = np.array([[30.0, 1e-3], [30.0, 1e-3], [1e-3, 30.0], [1e-3, 30.0], [9.0, 9.0]])
+    labelled = np.array([[20.0, 2.0], [20.0, 2.0], [2.0, 20.0], [2.0, 20.0], [6.0, 10.0]])
+    for many in (1, 10):
+        topics, terms = S.named_topics(topic_words, labelled * many)
+        model = S.Topics({w: i for i, w in enumerate(words)}, topic_words / topic_words.sum(0), topics, terms)
+        share, each = model.proportions(np.array([0, 1, 4]), np.array([2.0, 2.0, 1.0]))
+        assert abs(share.sum() - 1) < 1e-9 and share[0] > 0.9 and each[2, 0] > 0.9
+        assert [s for s, _ in model.lexicon(["dough", "flour", "bow"])["bow"]] == [0] and [s for s, _ in model.lexicon(["mast", "rudder", "bow"])["bow"]] == [1]
+        assert S.proportions("Flour and dough. The bow.", model)[0] == 1 and S.proportions("Mast and rudder. The bow.", model)[1] == 1

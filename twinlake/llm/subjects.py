@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,13 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 #: Topics, passes over all documents, rounds of the fit, and fewest documents of a round.
-TOPICS, PASSES, ROUNDS, ROUND_DOCS = 64, 2, 60, 1024
+TOPICS, PASSES, ROUNDS, ROUND_DOCS = 128, 2, 60, 1024
+#: Weight of each topic in a document, beside the words on it.
+DOCUMENT_PRIOR = 0.05
 #: A word of more than this share of a language's documents is a function word; languages under 1 % of documents have none.
 COMMON_SHARE = 0.2
 #: A word needs this share of all documents, and five of them, to be in the vocabulary.
 RARE_SHARE = 0.001
-#: Terms by which a topic is known; labels that a topic's subject counts for; how far above chance a word speaks for a subject.
-TOP_TERMS, TOPIC_WEIGHT, SPEAKS = 25, 4.0, 0.34
+#: Terms by which a topic is known; part of a term's own subjects that is even, however many its labels; how far above chance a word speaks for a subject.
+TOP_TERMS, TERM_DOUBT, SPEAKS = 25, 0.1, 0.34
+#: Rounds in which a document's topics are inferred, at most.
+INFERENCE_ROUNDS = 30
 #: Share of sentences from which a text is on a subject: a fifth, with room for one sentence missed in thirty.
 SENTENCE_SHARE = 0.17
 
@@ -69,31 +75,72 @@ def _vocabulary(docs: DataFrame) -> tuple[list[str], int]:
     return sorted(r[0] for r in kept.collect()), total
 
 
-def subject_weights(topic_words: np.ndarray, labelled: np.ndarray) -> np.ndarray:
-    """Words x subjects: what each word says of each subject, after inspection of the topics' top terms.
+def named_topics(topic_words: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subjects of topics (topics x subjects) and of terms (words x subjects), after inspection of the topics' top terms.
 
     ``topic_words`` are the topics' weights (words x topics), ``labelled`` counts of labelled documents
     (words x subjects), already brought to equal sums per subject. A topic's subjects are those of
-    the labels of its top terms, by how much more the topic uses them than the corpus. A word has
-    the subjects of its topics, counted as ``TOPIC_WEIGHT`` labels, beside its own labels: so
-    a topic on two subjects parts by its terms, and a word with few labels follows its topics.
+    the labels of its top terms, by how much more the topic uses them than the corpus. A term's own
+    subjects only part a topic that holds several: they are shares of its labels, a tenth of them
+    even, so that their say doesn't grow with the number of labels.
     """
     v, k = topic_words.shape
+    n = labelled.shape[1]
     of_word = (labelled + 0.3) / (labelled + 0.3).sum(1, keepdims=True)
     in_topic = topic_words / topic_words.sum(0, keepdims=True)
     everywhere = topic_words.sum(1) / topic_words.sum()
     telling = in_topic * np.maximum(np.log(in_topic / everywhere[:, None] + 1e-12), 0)
-    topics = np.full((k, labelled.shape[1]), 1 / labelled.shape[1])
+    topics = np.full((k, n), 1 / n)
     for t in range(k):
         top = np.argsort(-telling[:, t])[:TOP_TERMS]
         if (total := telling[top, t].sum()) > 0:
             topics[t] = (telling[top, t][:, None] * of_word[top]).sum(0) / total
-    spread = topic_words / topic_words.sum(1, keepdims=True)
-    return (labelled + TOPIC_WEIGHT * (spread @ topics)) / (labelled.sum(1, keepdims=True) + TOPIC_WEIGHT)
-
-
-def fitted_lexicon(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list[str], dict[str, list[tuple[int, float]]]]:
-    """The subjects, and each telling word's subjects with weights.
+    return topics, (1 - TERM_DOUBT) * of_word + TERM_DOUBT / n
+
+
+@dataclass(frozen=True)
+class Topics:
+    """A fitted topic model with its subjects."""
+
+    index: dict[str, int]
+    #: Words x topics, each topic's sum 1.
+    words: np.ndarray
+    #: Topics x subjects, and words x subjects.
+    subjects: np.ndarray
+    terms: np.ndarray
+
+    def proportions(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A document's topic proportions, and each word's (words x topics), of words ``at`` that occur ``n`` times."""
+        k = self.words.shape[1]
+        of = self.words[at].astype(float)
+        share = np.full(k, 1 / k)
+        for _ in range(INFERENCE_ROUNDS):
+            each = of * share
+            now = (n @ (each / each.sum(1, keepdims=True)) + DOCUMENT_PRIOR) / (n.sum() + DOCUMENT_PRIOR * k)
+            moved, share = np.abs(now - share).sum(), now
+            if moved < 1e-3:
+                break
+        each = of * share
+        return share, each / each.sum(1, keepdims=True)
+
+    def lexicon(self, words: Iterable[str]) -> dict[str, list[tuple[int, float]]]:
+        """The telling words of one document, each with its subjects and weights.
+
+        A word has the subjects of the topics it is on in this document, topics of several subjects
+        being parted by the term's own.
+        """
+        count = Counter(w for w in words if w in self.index)
+        if not count:
+            return {}
+        at = np.array([self.index[w] for w in count])
+        _, each = self.proportions(at, np.array(list(count.values()), float))
+        weights = ((each / (self.terms[at] @ self.subjects.T)) @ self.subjects) * self.terms[at]
+        least = 1 / weights.shape[1] + SPEAKS * (1 - 1 / weights.shape[1])
+        return {w: [(int(s), float(x[s])) for s in np.flatnonzero(x >= least)] for w, x in zip(count, weights) if x.max() >= least}
+
+
+def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list[str], Topics | None]:
+    """The subjects, and the topics fitted to the documents; None without subjects or vocabulary.
 
     The topics are fitted to all documents: each round takes a random share of them, ``PASSES`` passes
     in all on average. Vocabulary and label counts are over all documents and labels; what reaches
@@ -106,11 +153,11 @@ def fitted_lexicon(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     vocabulary, total = _vocabulary(docs)
     if not vocabulary or not subjects:
         docs.unpersist()
-        return subjects, {}
+        return subjects, None
     index = {w: i for i, w in enumerate(vocabulary)}
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(docs).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     share = min(1.0, max(PASSES / ROUNDS, ROUND_DOCS / total))
-    model = LDA(k=TOPICS, maxIter=ROUNDS, optimizer="online", subsamplingRate=share, docConcentration=[0.1] * TOPICS, topicConcentration=0.02, learningOffset=64.0, learningDecay=0.55, optimizeDocConcentration=False, seed=7).fit(vectors)
+    model = LDA(k=TOPICS, maxIter=ROUNDS, optimizer="online", subsamplingRate=share, docConcentration=[DOCUMENT_PRIOR] * TOPICS, topicConcentration=0.02, learningOffset=10.0, learningDecay=0.7, optimizeDocConcentration=False, seed=7).fit(vectors)
     topic_words = np.maximum(model.topicsMatrix().toArray(), 1e-12)
     vectors.unpersist()
 
@@ -129,19 +176,20 @@ def fitted_lexicon(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         sizes[at[s]] += 1
         for w in {fold(w) for w in _WORD.findall(text.lower())} & index.keys():
             counts[index[w], at[s]] += 1
-    weights = subject_weights(topic_words, counts / sizes * sizes.mean())
-    least = 1 / len(subjects) + SPEAKS * (1 - 1 / len(subjects))
-    return subjects, {w: [(int(s), float(weights[i, s])) for s in np.flatnonzero(weights[i] >= least)] for i, w in enumerate(vocabulary) if weights[i].max() >= least}
+    topics, terms = named_topics(topic_words, counts / sizes * sizes.mean())
+    return subjects, Topics(index, (topic_words / topic_words.sum(0)).astype(np.float32), topics, terms)
 
 
-def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]]) -> dict[int, float]:
+def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]] | Topics) -> dict[int, float]:
     """Share of the text's sentences on each subject; a sentence is on one subject or none.
 
     First by its words alone, then again with the subjects' shares in the text as prior, which settles
     words of two subjects.
     """
-    scores = []
-    for words in (parts := sentences(text)):
+    scores, parts = [], sentences(text)
+    if isinstance(lexicon, Topics):
+        lexicon = lexicon.lexicon(w for words in parts for w in words)
+    for words in parts:
         score: dict[int, float] = {}
         for w in set(words):
             for s, x in lexicon.get(w, ()):
@@ -161,16 +209,19 @@ def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]]) -> dict[
 def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """``(doc_id, subject, share)``: each subject of each document with its share of the sentences.
 
-    Proportions are taken over sentences rather than tokens, as the topics of single words say what a
-    sentence is on but not how long it is. Every document is scored over its whole text. Documents
+    Each document's topic proportions are inferred from all its words; with them the topics of each word
+    in it, and with those what a sentence is on. Shares are counted over sentences rather than tokens. Every document is scored over its whole text. Documents
     with a null id or text, and subjects without a sentence, give no row; the same id twice gives
     each row's own subjects. Without labels, topics are mapped by the subjects' descriptions alone.
     """
-    subjects, lexicon = fitted_lexicon(documents, labels, areas)
+    subjects, topics = fitted_topics(documents, labels, areas)
+
+    if topics is None:
+        return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, subjects[s], x) for d, t in zip(b["doc_id"], b["text"]) for s, x in sorted(proportions(t, lexicon).items())]
+            rows = [(d, subjects[s], x) for d, t in zip(b["doc_id"], b["text"]) for s, x in sorted(proportions(t, topics).items())]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
     return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(score, "doc_id bigint, subject string, share double")
