@@ -167,8 +167,19 @@ def test_topics_say_what_a_word_is_on_whatever_the_number_of_labels():
     labelled = np.array([[20.0, 2.0], [20.0, 2.0], [2.0, 20.0], [2.0, 20.0], [6.0, 10.0]])
     for many in (1, 10):
         topics, terms = S.named_topics(topic_words, labelled * many)
-        model = S.Topics({w: i for i, w in enumerate(words)}, topic_words / topic_words.sum(0), topics, terms)
+        model = S.Topics({w: i for i, w in enumerate(words)}, {}, topic_words / topic_words.sum(0), topics, terms)
         share, each = model.proportions(np.array([0, 1, 4]), np.array([2.0, 2.0, 1.0]))
         assert abs(share.sum() - 1) < 1e-9 and share[0] > 0.9 and each[2, 0] > 0.9
         assert [s for s, _ in model.lexicon(["dough", "flour", "bow"])["bow"]] == [0] and [s for s, _ in model.lexicon(["mast", "rudder", "bow"])["bow"]] == [1]
         assert S.proportions("Flour and dough. The bow.", model)[0] == 1 and S.proportions("Mast and rudder. The bow.", model)[1] == 1
+
+
+def test_function_words_are_told_by_labels_and_by_language(spark):
+    """A subject's word in half of a language's texts stays, a word of all subjects doesn't, and only the language's own labels count."""
+    docs = [(i, "es" if i < 100 else "en", (["de"] if i < 100 else ["the", "flour" if i % 5 else "bow"]) + (["suma"] if i % 2 and i < 100 else [])) for i in range(400)]
+    told = spark.createDataFrame([(i, ("storage" if i % 2 else "law") if i < 100 else ("law", "storage", "travel", "cooking")[i * 7 % 4], 1.0) for i in range(400)], "lid bigint, subject string, share double")
+    vocabulary, total, empty = S._vocabulary(spark.createDataFrame(docs, "doc_id bigint, lang string, w array<string>"), told)
+    assert total == 400 and "suma" in vocabulary and "de" not in vocabulary and "the" not in vocabulary
+    assert "suma" not in empty["es"] and {"de", "the"} <= empty["es"] and "bow" in vocabulary
+    model = S.Topics({"suma": 0}, empty, np.ones((1, 1)), np.array([[0.9, 0.1]]), np.array([[0.9, 0.1]]))
+    assert model.lexicon(["suma"], "ES") and not S.Topics({"suma": 0}, {"es": {"suma"}}, *[model.words, model.subjects, model.terms]).lexicon(["suma"], "es")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,8 +19,10 @@ from pyspark.storagelevel import StorageLevel
 TOPICS, PASSES, ROUNDS, ROUND_DOCS = 128, 2, 60, 1024
 #: Weight of each topic in a document, beside the words on it.
 DOCUMENT_PRIOR = 0.05
-#: A word of more than this share of a language's documents is a function word; languages under 1 % of documents have none.
+#: A word of more than this share of a language's documents is common; languages under 1 % of documents have none.
 COMMON_SHARE = 0.2
+#: How far above chance labels must tie a common word to a subject in a language, lest it be a function word there, and by how many labels at chance that is held back.
+COMMON_SPEAKS, COMMON_DOUBT = 0.25, 20.0
 #: A word needs this share of all documents, and five of them, to be in the vocabulary.
 RARE_SHARE = 0.001
 #: Terms by which a topic is known; part of a term's own subjects that is even, however many its labels; how far above chance a word speaks for a subject.
@@ -61,18 +63,60 @@ def sentences(text: str) -> list[list[str]]:
     return out
 
 
-def _vocabulary(docs: DataFrame) -> tuple[list[str], int]:
-    """Words for the topics, and the number of documents; both sides of the cut are counted over all documents."""
-    seen = docs.select(F.lower("lang").alias("lang"), F.array_distinct("w").alias("w"))
-    sizes = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("lang").isNotNull()).orderBy(F.desc("n")).limit(100).collect()}
+def _function_words(seen: DataFrame, told: DataFrame, counts: DataFrame, sizes: dict[str, int]) -> dict[str, set[str]]:
+    """By language the words that tell nothing there; ``''`` stands for all small and unknown languages.
+
+    A word common in a language is a function word unless labels tie it to a subject there, however
+    many documents hold it. In the other languages, whose documents may be marked wrongly, it is left
+    out too, unless labels tie it to a subject there.
+    """
+    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], float(kv[1]))]) if sizes else F.create_map(F.lit("-"), F.lit(1.0))
+    common = {(r["lang"], r["t"]) for r in counts.filter(F.col("n") > COMMON_SHARE * F.try_element_at(size, F.col("lang"))).select("lang", "t").collect()}
+    if not common:
+        return {}
+    labelled = seen.join(told, F.col("doc_id") == F.col("lid")).select("lang", "w", "subject", "share")
+    base, n = defaultdict(float), defaultdict(float)
+    for r in labelled.groupBy("lang", "subject").agg(F.sum("share").alias("n")).collect():
+        base[r["lang"], r["subject"]] = r["n"]
+        n[r["lang"]] += r["n"]
+    wanted = seen.sparkSession.createDataFrame([(t,) for t in sorted({t for _, t in common})], "known string")
+    of = defaultdict(dict)
+    for r in labelled.select("lang", F.explode("w").alias("t"), "subject", "share").join(F.broadcast(wanted), F.col("t") == F.col("known"), "left_semi").groupBy("lang", "t", "subject").agg(F.sum("share").alias("n")).collect():
+        of[r["lang"], r["t"]][r["subject"]] = r["n"]
+
+    def tells(lang: str, t: str) -> bool:
+        mine = of.get((lang, t), {})
+        held = sum(mine.values()) + COMMON_DOUBT
+        chance = {s: base[lang, s] / n[lang] for s in mine}
+        return any((x + COMMON_DOUBT * chance[s]) / held - chance[s] >= COMMON_SPEAKS * (1 - chance[s]) > 0 for s, x in mine.items())
+
+    empty = {t for lang, t in common if not tells(lang, t)}
+    return {lang: {t for t in empty if not tells(lang, t)} for lang in ["", *sizes]}
+
+
+def _vocabulary(docs: DataFrame, told: DataFrame) -> tuple[list[str], int, dict[str, set[str]]]:
+    """Words for the topics, the number of documents, and each large language's function words."""
     total = docs.count()
-    by_lang = seen.select("lang", F.explode("w").alias("t")).groupBy("lang", "t").agg(F.count("*").alias("n"))
-    large = [(k, float(n)) for k, n in sizes.items() if n >= 0.01 * total]
-    known = F.create_map(*[F.lit(x) for kv in large for x in kv]) if large else F.create_map(F.lit(""), F.lit(1.0))
-    share = F.col("n") / F.try_element_at(known, F.coalesce("lang", F.lit("")))
-    words = by_lang.groupBy("t").agg(F.sum("n").alias("n"), F.max(F.coalesce(share, F.lit(0.0))).alias("share"))
-    kept = words.filter((F.col("n") >= max(5, RARE_SHARE * total)) & (F.col("share") <= COMMON_SHARE)).select("t")
-    return sorted(r[0] for r in kept.collect()), total
+    large = [r["lang"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).filter((F.col("lang") != "") & (F.col("n") >= 0.01 * total)).orderBy("lang").collect()]
+    seen = docs.select("doc_id", F.when(F.col("lang").isin(large), F.col("lang")).otherwise("").alias("lang"), F.array_distinct("w").alias("w"))
+    sizes = {r["lang"]: r["n"] for r in seen.filter("lang != ''").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = seen.select("lang", F.explode("w").alias("t")).groupBy("lang", "t").agg(F.count("*").alias("n"))
+    empty = _function_words(seen, told, counts, sizes)
+    ignored = seen.sparkSession.createDataFrame([(k, t) for k in sorted(empty) for t in sorted(empty[k])], "il string, it string")
+    telling = counts.join(F.broadcast(ignored), (F.col("lang") == F.col("il")) & (F.col("t") == F.col("it")), "left_anti")
+    kept = telling.groupBy("t").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(5, RARE_SHARE * total)).select("t")
+    return sorted(r[0] for r in kept.collect()), total, empty
+
+
+def _without(docs: DataFrame, empty: dict[str, set[str]]) -> DataFrame:
+    """``docs`` whose words ``w`` are without the function words of their language."""
+
+    @F.udf("array<string>", useArrow=True)
+    def telling(lang: str, w: list[str]) -> list[str]:
+        drop = empty.get(lang, empty.get("", ()))
+        return [x for x in w if x not in drop]
+
+    return docs.withColumn("w", telling("lang", "w")) if any(empty.values()) else docs
 
 
 def named_topics(topic_words: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +147,8 @@ class Topics:
     """A fitted topic model with its subjects."""
 
     index: dict[str, int]
+    #: By language the words that tell nothing there, under '' those for every other language.
+    empty: dict[str, set[str]]
     #: Words x topics, each topic's sum 1.
     words: np.ndarray
     #: Topics x subjects, and words x subjects.
@@ -123,13 +169,14 @@ class Topics:
         each = of * share
         return share, each / each.sum(1, keepdims=True)
 
-    def lexicon(self, words: Iterable[str]) -> dict[str, list[tuple[int, float]]]:
+    def lexicon(self, words: Iterable[str], lang: str | None = None) -> dict[str, list[tuple[int, float]]]:
         """The telling words of one document, each with its subjects and weights.
 
         A word has the subjects of the topics it is on in this document, topics of several subjects
         being parted by the term's own.
         """
-        count = Counter(w for w in words if w in self.index)
+        drop = self.empty.get((lang or "").lower(), self.empty.get("", ()))
+        count = Counter(w for w in words if w in self.index and w not in drop)
         if not count:
             return {}
         at = np.array([self.index[w] for w in count])
@@ -149,22 +196,22 @@ def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     """
     described = {r["subject"]: f"{r['subject']} {r['description'] or ''}" for r in areas.filter("subject IS NOT NULL").select("subject", "description").orderBy("subject").limit(1000).collect()}
     subjects = sorted(described)
-    docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", words_of(F.col("text")).alias("w")).persist(StorageLevel.DISK_ONLY)
-    vocabulary, total = _vocabulary(docs)
+    docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), words_of(F.col("text")).alias("w")).persist(StorageLevel.DISK_ONLY)
+    given = labels.filter("doc_id IS NOT NULL").filter(F.col("subject").isin(subjects)).groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
+    told = given.join(given.groupBy("doc_id").agg(F.sum("c").alias("all")), "doc_id").select(F.col("doc_id").alias("lid"), "subject", (F.col("c") / F.col("all")).alias("share"))
+    vocabulary, total, empty = _vocabulary(docs, told)
     if not vocabulary or not subjects:
         docs.unpersist()
         return subjects, None
     index = {w: i for i, w in enumerate(vocabulary)}
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(docs).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(_without(docs, empty)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
     share = min(1.0, max(PASSES / ROUNDS, ROUND_DOCS / total))
     model = LDA(k=TOPICS, maxIter=ROUNDS, optimizer="online", subsamplingRate=share, docConcentration=[DOCUMENT_PRIOR] * TOPICS, topicConcentration=0.02, learningOffset=10.0, learningDecay=0.7, optimizeDocConcentration=False, seed=7).fit(vectors)
     topic_words = np.maximum(model.topicsMatrix().toArray(), 1e-12)
     vectors.unpersist()
 
     at = {s: i for i, s in enumerate(subjects)}
-    given = labels.filter("doc_id IS NOT NULL").filter(F.col("subject").isin(subjects)).groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
-    told = given.join(given.groupBy("doc_id").agg(F.sum("c").alias("all")), "doc_id").select(F.col("doc_id").alias("lid"), "subject", (F.col("c") / F.col("all")).alias("share"))
-    with_words = docs.select("doc_id", F.array_distinct("w").alias("w")).join(told, F.col("doc_id") == F.col("lid"))
+    with_words = _without(docs, empty).select("doc_id", F.array_distinct("w").alias("w")).join(told, F.col("doc_id") == F.col("lid"))
     counts, sizes = np.zeros((len(vocabulary), len(subjects))), np.zeros(len(subjects))
     for r in told.groupBy("subject").agg(F.sum("share").alias("n")).collect():
         sizes[at[r["subject"]]] = r["n"]
@@ -177,10 +224,10 @@ def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         for w in {fold(w) for w in _WORD.findall(text.lower())} & index.keys():
             counts[index[w], at[s]] += 1
     topics, terms = named_topics(topic_words, counts / sizes * sizes.mean())
-    return subjects, Topics(index, (topic_words / topic_words.sum(0)).astype(np.float32), topics, terms)
+    return subjects, Topics(index, empty, (topic_words / topic_words.sum(0)).astype(np.float32), topics, terms)
 
 
-def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]] | Topics) -> dict[int, float]:
+def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]] | Topics, lang: str | None = None) -> dict[int, float]:
     """Share of the text's sentences on each subject; a sentence is on one subject or none.
 
     First by its words alone, then again with the subjects' shares in the text as prior, which settles
@@ -188,7 +235,7 @@ def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]] | Topics)
     """
     scores, parts = [], sentences(text)
     if isinstance(lexicon, Topics):
-        lexicon = lexicon.lexicon(w for words in parts for w in words)
+        lexicon = lexicon.lexicon((w for words in parts for w in words), lang)
     for words in parts:
         score: dict[int, float] = {}
         for w in set(words):
@@ -221,10 +268,10 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, subjects[s], x) for d, t in zip(b["doc_id"], b["text"]) for s, x in sorted(proportions(t, topics).items())]
+            rows = [(d, subjects[s], x) for d, t, k in zip(b["doc_id"], b["text"], b["lang"]) for s, x in sorted(proportions(t, topics, k).items())]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInPandas(score, "doc_id bigint, subject string, share double")
+    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").mapInPandas(score, "doc_id bigint, subject string, share double")
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, least: float = SENTENCE_SHARE) -> DataFrame:
