@@ -183,3 +183,9 @@ def test_function_words_are_told_by_labels_and_by_language(spark):
     assert "suma" not in empty["es"] and {"de", "the"} <= empty["es"] and "bow" in vocabulary
     model = S.Topics({"suma": 0}, empty, np.ones((1, 1)), np.array([[0.9, 0.1]]), np.array([[0.9, 0.1]]))
     assert model.lexicon(["suma"], "ES") and not S.Topics({"suma": 0}, {"es": {"suma"}}, *[model.words, model.subjects, model.terms]).lexicon(["suma"], "es")
+
+
+@pytest.mark.parametrize("n", [300, 3000])
+def test_every_document_is_in_one_round_of_a_pass(spark, n):
+    parts = S.parted(spark.range(n).select(F.col("id").alias("doc_id")))
+    assert sorted(r[0] for p in parts for r in p.collect()) == list(range(n)) and len(parts) == S.PARTS

@@ -9,14 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-#: Topics, passes over all documents, rounds of the fit, and fewest documents of a round.
-TOPICS, PASSES, ROUNDS, ROUND_DOCS = 128, 2, 60, 1024
+#: Topics, passes over all documents, and disjoint parts of the documents, each of which is a round of a pass.
+TOPICS, PASSES, PARTS = 128, 3, 20
 #: Weight of each topic in a document, beside the words on it.
 DOCUMENT_PRIOR = 0.05
 #: A word of more than this share of a language's documents is common; languages under 1 % of documents have none.
@@ -186,11 +185,35 @@ class Topics:
         return {w: [(int(s), float(x[s])) for s in np.flatnonzero(x >= least)] for w, x in zip(count, weights) if x.max() >= least}
 
 
+def parted(vectors: DataFrame) -> list[DataFrame]:
+    """``vectors (doc_id, features)`` in ``PARTS`` disjoint parts that hold every document once."""
+    return [vectors.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == p) for p in range(PARTS)]
+
+
+def topics_of(vectors: DataFrame, words: int) -> np.ndarray:
+    """Weights (words x topics) of a latent Dirichlet allocation fitted to ``vectors (doc_id, features)``.
+
+    Online variational Bayes by Spark's optimizer. Its own rounds are drawn at random and pass documents
+    over, so it is handed the rounds instead: each document is in one round of each pass.
+    """
+    spark = vectors.sparkSession
+    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
+    of = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset
+    lda = mllib.LDA().setK(TOPICS).setDocConcentration(DOCUMENT_PRIOR).setTopicConcentration(0.02).setSeed(7)
+    optimizer = mllib.OnlineLDAOptimizer().setTau0(10.0).setKappa(0.7).setMiniBatchFraction(1.0 / PARTS).setOptimizeDocConcentration(False)
+    optimizer.initialize(of(vectors._jdf, "features"), lda)
+    parts = [of(p._jdf, "features") for p in parted(vectors)]
+    for _ in range(PASSES):
+        for part in parts:
+            optimizer.submitMiniBatch(part)
+    matrix = optimizer.getLDAModel(spark.sparkContext._gateway.new_array(spark._jvm.double, 0)).topicsMatrix()
+    return np.maximum(np.array(list(matrix.toArray())).reshape(TOPICS, words).T, 1e-12)
+
+
 def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list[str], Topics | None]:
     """The subjects, and the topics fitted to the documents; None without subjects or vocabulary.
 
-    The topics are fitted to all documents: each round takes a random share of them, ``PASSES`` passes
-    in all on average. Vocabulary and label counts are over all documents and labels; what reaches
+    The topics are fitted to all documents, each in every one of ``PASSES`` passes whatever their number. Vocabulary and label counts are over all documents and labels; what reaches
     the driver is bounded by the vocabulary: a word needs ``RARE_SHARE`` of the documents, so
     there are at most (mean words a document) / ``RARE_SHARE`` of them.
     """
@@ -204,10 +227,8 @@ def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         docs.unpersist()
         return subjects, None
     index = {w: i for i, w in enumerate(vocabulary)}
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(_without(docs, empty)).select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    share = min(1.0, max(PASSES / ROUNDS, ROUND_DOCS / total))
-    model = LDA(k=TOPICS, maxIter=ROUNDS, optimizer="online", subsamplingRate=share, docConcentration=[DOCUMENT_PRIOR] * TOPICS, topicConcentration=0.02, learningOffset=10.0, learningDecay=0.7, optimizeDocConcentration=False, seed=7).fit(vectors)
-    topic_words = np.maximum(model.topicsMatrix().toArray(), 1e-12)
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(_without(docs, empty)).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    topic_words = topics_of(vectors, len(vocabulary))
     vectors.unpersist()
 
     at = {s: i for i, s in enumerate(subjects)}
