@@ -189,3 +189,11 @@ def test_function_words_are_told_by_labels_and_by_language(spark):
 def test_every_document_is_in_one_round_of_a_pass(spark, n):
     parts = S.parted(spark.range(n).select(F.col("id").alias("doc_id")))
     assert sorted(r[0] for p in parts for r in p.collect()) == list(range(n)) and len(parts) == S.PARTS
+
+
+def test_sentences_in_quotes_count(spark):
+    text = '"The oven is hot." He read "a short name" aloud. "We sail at noon," she said. A stray " quote. Here it goes on. Then " ends.'
+    words = [w for s in S.sentences(text) for w in s]
+    assert len(S.sentences(text)) == 6 and S.fold("oven") in words and S.fold("sail") in words and S.fold("goes") in words and S.fold("short") not in words
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(S.words_of(F.col("t"))).first()[0] == words

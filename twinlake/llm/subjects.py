@@ -35,13 +35,15 @@ SENTENCE_SHARE = 0.17
 _FROM, _TO = "áàäâãåéèëêíìïîóòöôõúùüûñçl1|c0", "aaaaaaeeeeiiiiooooouuuuneiiieo"
 _FOLD = str.maketrans(_FROM, _TO)
 _WORD = re.compile(r"[^\W_]{3,}")
-_ASIDE, _QUOTED = re.compile(r"\(([^()]*)\)"), re.compile(r'"[^"\n]*"')
+# A short phrase in quotes that a sentence's own words lead to or go on from; whole sentences in quotes are none.
+_PHRASE = r'(?<=\w\s)"[^".!?\n]{0,60}(?<!,)"|"[^".!?\n]{0,60}(?<!,)"(?=,?\s[a-zäöüßáéíóúñ])'
+_ASIDE, _QUOTED = re.compile(r"\(([^()]*)\)"), re.compile(_PHRASE)
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 
 
 def words_of(text: Column) -> Column:
-    """Folded words of three letters or more, without quotations and bracketed asides."""
-    body = F.regexp_replace(F.regexp_replace(text, r'"[^"\n]*"', " "), r"\([^()]*\)", " ")
+    """Folded words of three letters or more, without quoted phrases and bracketed asides."""
+    body = F.regexp_replace(F.regexp_replace(text, _PHRASE.replace(r"\w", r"[\p{L}\p{N}_]"), " "), r"\([^()]*\)", " ")
     raw = F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & w.rlike(r"\p{L}"))
     return F.transform(raw, lambda w: F.translate(F.regexp_replace(w, "rn", "m"), _FROM, _TO))
 
@@ -52,7 +54,7 @@ def fold(word: str) -> str:
 
 def sentences(text: str) -> list[list[str]]:
     """The text's sentences as lists of folded words; an aside of its own is a sentence without words."""
-    body = _QUOTED.sub(" ", text)
+    body = _QUOTED.sub(" ", text).replace('"', " ")
     body = _ASIDE.sub(lambda m: " -aside-. " if m[1].rstrip()[-1:] in (".", "!", "?") else " ", body).lower()
     out = []
     for s in _SENTENCE.split(body):
