@@ -300,3 +300,10 @@ def test_signatures(spark):
     assert [(r[0]["duration"], r[0]["words"]) for r in texts.select(signatures.sound_print(F.col("t"))).collect()] == [(12.5, [1, 2]), (3.0, None), (None, [1]), (None, None), (None, None), (4.0, None)]
     films = spark.createDataFrame([("9.5:ab,,cd",), ("9:",), ("zz",)], "t string")
     assert [(r[0]["duration"], r[0]["frames"]) for r in films.select(signatures.film_signature(F.col("t"))).collect()] == [(9.5, ["ab", "cd"]), (9.0, None), (None, None)]
+
+
+def test_budget_that_takes_too_many_rounds_is_an_error(spark):
+    costs = spark.createDataFrame([("a", 9), ("b", 1), ("c", 9), ("d", 1)], "p string, c bigint")
+    assert rows(reconcile.within_budget(costs, ["p"], "c", 2, 3), "p", "taken") == [("a", False), ("b", True), ("c", False), ("d", True)]
+    with pytest.raises(RuntimeError):
+        reconcile.within_budget(costs, ["p"], "c", 10, 1)

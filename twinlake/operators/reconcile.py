@@ -70,6 +70,8 @@ def within_budget(costs: DataFrame, order: Sequence[str], cost: str, budget: int
         if stop is None:
             break
         after = _literal(stop, order, rows)
+    else:
+        raise RuntimeError(f"the budget isn't settled after {rounds} rounds")
     taken = F.lit(False)
     for m in marks:
         taken = taken | m
