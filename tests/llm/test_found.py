@@ -132,3 +132,9 @@ def test_same_names(spark):
     one = ["Margaret Stome", "Margaret Stone", "M.B. Stone", "Peggy Stone", "Stone, M."]
     assert got == {tuple(sorted(p)) for p in itertools.combinations(one, 2)}
     assert rows(N.same_names(df.limit(0))) == []
+
+
+def test_same_names_of_short_words(spark):
+    want = [("Ray Fox", "R. Fox"), ("Kim Lee", "K. Lee"), ("Z.Z. Top", "ZZ Top"), ("Quen", "Queen"), ("Raymond Nye", "Ray Nye")]
+    df = spark.createDataFrame([("artist", n) for p in want for n in p] + [("artist", "Tom Box")], "kind string, name string")
+    assert {(r["a"], r["b"]) for r in N.same_names(df).collect()} == {tuple(sorted(p)) for p in want}

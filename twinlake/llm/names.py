@@ -42,7 +42,7 @@ NICKNAMES = {
     "sam": "samuel samantha", "sandy": "alexander sandra", "steve": "stephen steven", "sue": "susannah susan", "susie": "susannah susan", "suzy": "susannah susan", "ted": "edward theodore", "teddy": "edward theodore", "terry": "terence theresa",
     "theo": "theodore", "tim": "timothy", "toby": "tobias", "tom": "thomas", "tony": "anthony", "vic": "victor victoria", "vicky": "victoria", "tori": "victoria", "will": "william", "willy": "william", "zack": "zachary",
 }
-#: Shortest token in which an edit is taken for a typo.
+#: Length from which an edit is taken for a typo; one of the two tokens may be a letter shorter.
 TYPO_LENGTH = 5
 #: Cost of aligning two tokens, and most that a pair of names may cost per pair of tokens.
 NICKNAME, TYPO, ABBREVIATION, INITIAL, SPARE_INITIAL = 0.2, 0.3, 0.4, 0.6, 0.5
@@ -210,7 +210,7 @@ def agree(readings: list[list[str]], people: bool) -> bool:
 
 
 def _deletions(t: str) -> list[str]:
-    return [t, *{t[:i] + t[i + 1 :] for i in range(len(t))}] if len(t) >= TYPO_LENGTH and t[0] != "#" else []
+    return [t, *{t[:i] + t[i + 1 :] for i in range(len(t))}] if len(t) >= TYPO_LENGTH - 1 and t[0] != "#" else []
 
 
 def _near_tokens(words: DataFrame) -> DataFrame:
@@ -224,13 +224,13 @@ def _near_tokens(words: DataFrame) -> DataFrame:
     def deletions(t: str) -> list[str]:
         return _deletions(t)
 
-    index = words.filter(F.length("t") >= TYPO_LENGTH).select("kind", "t", "names", F.explode(deletions("t")).alias("d"))
+    index = words.filter(F.length("t") >= TYPO_LENGTH - 1).select("kind", "t", "names", F.explode(deletions("t")).alias("d"))
     a, b = [index.select(F.col("kind").alias(f"{s}k"), F.col("t").alias(f"{s}t"), F.col("names").alias(f"{s}n"), F.col("d").alias(f"{s}d")) for s in "ab"]
     near = a.join(b, (F.col("ak") == F.col("bk")) & (F.col("ad") == F.col("bd")) & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("at") > F.col("bt")))))
 
     @F.udf("boolean", useArrow=True)
     def close(x: str, y: str) -> bool:
-        return one_edit(x, y)
+        return max(len(x), len(y)) >= TYPO_LENGTH and one_edit(x, y)
 
     return near.select(F.col("ak").alias("kind"), F.col("at").alias("rare"), F.col("bt").alias("often")).distinct().filter(close("rare", "often"))
 
@@ -241,9 +241,9 @@ def same_names(names: DataFrame) -> DataFrame:
     1. Names are cut to tokens; placeholders and credits of two performers are left out. Names with
        the same tokens in any order are one class.
     2. Tokens one edit apart are found by a symmetric-delete index.
-    3. A class looks for others under its rarest token and under what its tokens may be typos of, each
-       with the initial of another token; the others are listed under each of their tokens with
-       each initial. So a common given name or ensemble word brings no candidates by itself.
+    3. A class looks for others under its rarest token (without one of four letters, under each of
+       three) and under what its tokens may be typos of, each with the initial of another token; the
+       others are listed under each token of three letters that is no nickname, with each initial. So a common given name or ensemble word brings no candidates by itself.
     4. Candidates are aligned token by token at least cost (optimal assignment), permitting typos,
        nicknames, abbreviations and initials. An initial or nickname that could stand for different
        words in equally good partners is ambiguous, and that class links to nobody.
@@ -269,8 +269,12 @@ def same_names(names: DataFrame) -> DataFrame:
     known = words.join(counted.select(F.col("kind").alias("ck"), F.col("t").alias("ct"), "names"), (F.col("kind") == F.col("ck")) & (F.col("t") == F.col("ct"))).select("id", "kind", "t", "names")
     long = (F.length("t") >= 4) & ~((F.col("kind") == "artist") & F.col("t").isin(*NICKNAMES))
     rarest = known.groupBy("id").agg(F.min(F.struct((~long).alias("short"), "names", "t")).alias("m")).select("id", F.col("m.t").alias("t"))
+    # A pair needs a token of three letters in common that is no nickname: names without a long one look under all of those.
+    common = (F.length("t") >= 3) & ~((F.col("kind") == "artist") & F.col("t").isin(*NICKNAMES))
+    brief = known.groupBy("id").agg(F.max(long).alias("any")).filter("NOT any").select(F.col("id").alias("bid"))
+    under = known.filter(common).join(brief, F.col("id") == F.col("bid")).select("id", F.col("t").alias("own"), "t")
     meant = known.join(near, (known["kind"] == near["kind"]) & (F.col("t") == F.col("rare"))).select("id", F.col("t").alias("own"), F.col("often").alias("t"))
-    anchors = rarest.select("id", F.col("t").alias("own"), "t").unionByName(meant)
+    anchors = rarest.select("id", F.col("t").alias("own"), "t").unionByName(under).unionByName(meant)
 
     def initials(own: Column) -> Column:
         """First letters of a class's other tokens (also of what nicknames stand for); '' if it has none."""
@@ -282,7 +286,7 @@ def same_names(names: DataFrame) -> DataFrame:
     seek = anchors.join(plain_classes, F.col("id") == F.col("cid")).withColumn("i", initials(F.col("own")))
     nicked = F.flatten(F.transform(F.filter(formal, lambda f: F.array_contains("tokens", f["n"])), lambda f: f["i"]))
     seek = seek.select("id", F.col("ckind").alias("kind"), "t", F.explode(F.array_union("i", nicked)).alias("i")).distinct()
-    listed = words.filter(long).select(F.col("id").alias("oid"), F.col("kind").alias("okind"), F.col("t").alias("ot")).join(plain_classes, F.col("oid") == F.col("cid"))
+    listed = words.filter(common).select(F.col("id").alias("oid"), F.col("kind").alias("okind"), F.col("t").alias("ot")).join(plain_classes, F.col("oid") == F.col("cid"))
     listed = listed.select("oid", "okind", "ot", F.explode(initials(F.col("ot"))).alias("oi")).distinct()
     pairs = seek.join(listed, (F.col("kind") == F.col("okind")) & (F.col("t") == F.col("ot")) & (F.col("i") == F.col("oi")) & (F.col("id") != F.col("oid"))).select("kind", "id", "oid").distinct()
     pairs = pairs.join(plain_classes.select("cid", F.col("tokens").alias("a")), F.col("id") == F.col("cid")).drop("cid").join(plain_classes.select("cid", F.col("tokens").alias("b")), F.col("oid") == F.col("cid")).drop("cid")
