@@ -1,5 +1,6 @@
 """Snapshot changes, copy differences and heavy keys against plain Python, with the awkward cases."""
 
+import os
 import random
 
 import pytest
@@ -96,3 +97,59 @@ def test_per_key_states_don_t_depend_on_chunks(spark, chunk):
     assert {r["k"]: ((r["m"]["t"] if r["m"]["t"] is not None else -1), r["m"]["p"]) for r in got.collect()} == want
     assert {r["k"]: r["n"] for r in got.collect()} == {"a": 150, "b": 50, "one": 1}
     assert per_key(df.limit(0).repartition(2, "p"), ["k"], {"n": F.count("*")}, {"n": F.sum("n")}).count() == 0
+
+
+def _copies_by_hand(folder):
+    """Problem 5 in plain Python, from its statement."""
+    import pyarrow.parquet as pq
+
+    read = lambda name: pq.read_table(f"{folder}/{name}.parquet").to_pylist()
+    tag = lambda e: None if e is None else e.replace("W/", "").replace('"', "")
+    low = lambda h: None if h is None else h.lower()
+    fields = ["source_file_id", "source_etag", "source_size", "source_hash", "source_mime", "dest_expected_path", "action"]
+    shape = lambda r: {f: tag(r[f]) if f == "source_etag" else low(r[f]) if f == "source_hash" else r[f] for f in fields}
+    found = set()
+
+    def compare(pair, left, right):
+        for k in left.keys() | right.keys():
+            if k not in left:
+                found.add((pair, k, "*", "missing_left"))
+            elif k not in right:
+                found.add((pair, k, "*", "missing_right"))
+            else:
+                found.update((pair, k, f, "differs") for f in left[k] if left[k][f] != right[k][f])
+
+    newest = {}
+    for r in read("migration_manifest"):
+        if r["source_path"] is not None and (r["source_path"] not in newest or r["updated_at"] > newest[r["source_path"]]["updated_at"]):
+            newest[r["source_path"]] = r
+    compare("plan_manifest", {r["source_path"]: shape(r) for r in read("migration_entries") if r["source_path"] is not None}, {k: shape(r) for k, r in newest.items()})
+    held = {}
+    for r in read("files"):
+        if r["snapshot_id"] == 4 and (r["path"] not in held or r["delivered_at"] > held[r["path"]]["delivered_at"]):
+            held[r["path"]] = r
+    there = {r["cloud_file_id"]: {"dest_etag": tag(r["etag"])} for r in held.values() if r["source_id"] == "gdrive:vault" and r["cloud_file_id"] is not None}
+    compare("manifest_dest", {r["dest_cloud_file_id"]: {"dest_etag": tag(r["dest_etag"])} for r in newest.values() if r["state"] == "done" and r["dest_cloud_file_id"] is not None}, there)
+    copies = {}, {}
+    for r in read("tree_diff_entries"):
+        for side, h in zip(copies, r["hashes_per_member"] or []):
+            if h is not None and r["tree_group_id"] is not None and r["relative_path"] is not None:
+                side[f"{r['tree_group_id']}:{r['relative_path']}"] = {"hashes_per_member": low(h)}
+    compare("tree", *copies)
+    return sorted(found)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_copies_by_hand(spark):
+    from twinlake.plans.training import p5_found
+
+    want = _copies_by_hand("/root/testdata/sf0.01")
+    assert rows(p5_found(spark, "/root/testdata/sf0.01"), "copy_pair", "row_key", "field_name", "difference") == want
+    assert {w[0] for w in want if w[3] == "missing_left"} == {"plan_manifest", "manifest_dest", "tree"}
+
+
+def test_many_unequal_buckets_are_joined_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("twinlake.operators.copydiff.broadcast_if_small", lambda df: df)
+    left, right = spark.range(5000).selectExpr("id", "id % 7 AS v"), spark.range(100, 5100).selectExpr("id", "id % 3 AS v")
+    got = copy_differences(left, right, "id", ["v"]).groupBy("difference").count()
+    assert dict(rows(got)) == {"missing_left": 100, "missing_right": 100, "differs": sum(i % 7 != i % 3 for i in range(100, 5000))}

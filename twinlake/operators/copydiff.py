@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most key buckets of a checksum matrix; bounds what is broadcast: about 12 bytes a bucket.
-MAX_BUCKETS = 1 << 16
+from twinlake.session import broadcast_if_small, cut
+
+#: Rows a key bucket holds on average, and the least number of buckets: buckets grow with the rows, so that one difference never makes many rows be read again.
+BUCKET_ROWS, LEAST_BUCKETS = 8, 1024
 _LOW = 0xFFFFFFFF
 
 
@@ -22,6 +24,10 @@ def same_etag(c: Column) -> Column:
     return F.regexp_replace(c, r'^W/|"', "")
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("k"), F.lit(buckets).cast("bigint"))
+
+
 def _matrix(side: DataFrame, fields: Sequence[str], buckets: int, prefix: str) -> DataFrame:
     """One row per bucket: for the keys (column 0) and each field an additive hash of 2 x 64 bits.
 
@@ -34,11 +40,11 @@ def _matrix(side: DataFrame, fields: Sequence[str], buckets: int, prefix: str) -
         for j in range(2):
             h = F.xxhash64(F.lit(2 * i + j), *of)
             sums += [F.sum(h.bitwiseAND(_LOW)).alias(f"_{i}_{j}a"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"_{i}_{j}b")]
-    m = side.groupBy(F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int").alias("b")).agg(*sums)
+    m = side.groupBy(_bucket(buckets).alias("b")).agg(*sums)
     return m.select(F.col("b").alias(f"{prefix}b"), *[F.array(*[f"_{i}_{j}{x}" for j in range(2) for x in "ab"]).alias(f"{prefix}{i}") for i in range(len(fields) + 1)])
 
 
-def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], buckets: int = MAX_BUCKETS) -> DataFrame:
+def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Rows ``(row_key, field_name, difference)``: ``missing_left``, ``missing_right``, ``differs``.
 
     Each side is summed to a matrix of additive hashes, one cell per key bucket and column. Only
@@ -47,10 +53,12 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequen
 
     Sides must already be normalised; ``fields`` are compared as strings. Several rows of one key
     on one side count as one: the greatest by field values, nulls least. Null keys are ignored.
-    Other columns may be there under any name; they aren't read. ``buckets`` is at most
-    ``MAX_BUCKETS``, which bounds the broadcast set of unequal buckets.
+    Other columns may be there under any name; they aren't read. ``buckets`` is by default a bucket
+    for ``BUCKET_ROWS`` rows. The unequal buckets are written once and counted: few are broadcast, many
+    are joined by a shuffle.
     """
-    buckets = min(buckets, MAX_BUCKETS)
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, max(left.count(), right.count()) // BUCKET_ROWS)
     names = [f"f{i}" for i in range(len(fields))]
 
     def canonical(df: DataFrame) -> DataFrame:
@@ -62,10 +70,10 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequen
     unequal = F.lit(0)
     for i in range(len(names) + 1):
         unequal = unequal.bitwiseOR(F.when(F.col(f"l{i}").eqNullSafe(F.col(f"r{i}")), 0).otherwise(1 << i))
-    todo = F.broadcast(cells.select(F.coalesce("lb", "rb").alias("tb"), unequal.alias("mask")).filter("mask != 0"))
+    todo = broadcast_if_small(cut(cells.select(F.coalesce("lb", "rb").alias("tb"), unequal.alias("mask")).filter("mask != 0")))
 
     def suspects(df: DataFrame, prefix: str, mask: bool) -> DataFrame:
-        kept = df.join(todo, F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int") == F.col("tb"))
+        kept = df.join(todo, _bucket(buckets) == F.col("tb"))
         return kept.select(*[F.col(c).alias(prefix + c) for c in ["k", *names]], *[F.col("mask").alias(f"{prefix}mask")] * mask)
 
     both = suspects(left, "l", True).join(suspects(right, "r", True), F.col("lk") == F.col("rk"), "full_outer")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def latest(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str]) -> DataFrame:
     """Per ``keys`` the row with the greatest ``order``.
 
-    One aggregation over a maximum of structs, so it combines map-side and no key needs a sort.
+    One aggregation over a maximum of structs, which combines map-side; Spark aggregates structs with
+    strings by sorting each partition, but no key's rows are gathered or numbered.
     Null ``order`` counts as earliest. Equal ``order`` is decided by the greatest ``columns``,
     compared from left to right, so the result doesn't depend on row order. Null keys form keys
     of their own. Columns that aren't named are dropped.

@@ -35,7 +35,11 @@ WHERE old.path IS NULL OR cur.path IS NULL OR cur.size IS DISTINCT FROM old.size
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing rows and unequal fields of plan and manifest, manifest and destination, two trees."""
+    """Missing rows and unequal fields of plan and manifest, manifest and destination, two trees.
+
+    A tree copy has a row where its element of hashes_per_member is there and not null: an entry with
+    one such element is a row missing in the other copy, one with none is a row of neither.
+    """
     fields = ["source_file_id", "source_etag", "source_size", "source_hash", "source_mime", "dest_expected_path", "action"]
 
     def plain(df: DataFrame, *more: str) -> DataFrame:
@@ -54,10 +58,13 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = lambda i: same_hash(F.get("hashes_per_member", F.lit(i)))
     tree = entries.groupBy(F.concat_ws(":", F.col("tree_group_id").cast("string"), "relative_path").alias("row_key")).agg(F.max(F.struct(member(0).alias("a"), member(1).alias("b"))).alias("v"))
 
+    def tree_copy(side: str) -> DataFrame:
+        return tree.select("row_key", F.col(f"v.{side}").alias("hashes_per_member")).filter("hashes_per_member IS NOT NULL")
+
     pairs = {
         "plan_manifest": copy_differences(plan, manifest, "source_path", fields),
         "manifest_dest": copy_differences(copied, there.select(F.col("cloud_file_id").alias("id"), same_etag(F.col("etag")).alias("dest_etag")), "id", ["dest_etag"]),
-        "tree": copy_differences(tree.select("row_key", F.col("v.a").alias("hashes_per_member")), tree.select("row_key", F.col("v.b").alias("hashes_per_member")), "row_key", ["hashes_per_member"]),
+        "tree": copy_differences(tree_copy("a"), tree_copy("b"), "row_key", ["hashes_per_member"]),
     }
     out = [df.select(F.lit(name).alias("copy_pair"), "row_key", "field_name", "difference") for name, df in pairs.items()]
     return out[0].unionByName(out[1]).unionByName(out[2])
@@ -83,7 +90,8 @@ UNION ALL """
 UNION ALL SELECT 'manifest_dest', coalesce(l.id, r.id), CASE WHEN l.id IS NULL OR r.id IS NULL THEN '*' ELSE 'dest_etag' END,
   CASE WHEN l.id IS NULL THEN 'missing_left' WHEN r.id IS NULL THEN 'missing_right' ELSE 'differs' END
   FROM copied l FULL JOIN dest r ON l.id = r.id WHERE l.id IS NULL OR r.id IS NULL OR l.etag IS DISTINCT FROM r.etag
-UNION ALL SELECT 'tree', row_key, 'hashes_per_member', 'differs' FROM tree WHERE a IS DISTINCT FROM b
+UNION ALL SELECT 'tree', row_key, CASE WHEN a IS NULL OR b IS NULL THEN '*' ELSE 'hashes_per_member' END,
+  CASE WHEN a IS NULL THEN 'missing_left' WHEN b IS NULL THEN 'missing_right' ELSE 'differs' END FROM tree WHERE a IS DISTINCT FROM b
 """
 )
 
