@@ -117,18 +117,80 @@ def test_token_counts(spark):
     assert sorted(got) == [1, 2, 4, 5]
 
 
-def test_sentences_and_folding(spark):
+def test_sentences_and_folding():
     text = 'The rn burn was "quoted words" fine. (Unrelated: an aside.) Next (15 of 48) one?\n- Enc1osure 110\n\n'
-    assert S.sentences(text) == [["the", "bum", "was", "fine"], [], ["next", "one"], ["eneiosure"]] or len(S.sentences(text)) == 4
-    df = spark.createDataFrame([("Verslon enc1osure BURN déjà 110 ab",)], "t string")
-    assert df.select(S.words_of(F.col("t"))).first()[0] == [S.fold(w) for w in ["verslon", "enc1osure", "burn", "déjà"]]
-
-
-def test_proportions_settle_shared_words_by_the_text():
-    lexicon = {S.fold(w): v for w, v in {"goal": [(0, 0.6), (1, 0.4)], "match": [(0, 0.9)], "oven": [(1, 0.9)]}.items()}
-    got = S.proportions("The oven. An oven and a goal. The match. Nothing here. An oven goal.", lexicon)
-    assert abs(got[1] - 0.6) < 1e-9 and abs(got[0] - 0.2) < 1e-9
-    assert S.proportions("", lexicon) == {} and S.proportions("Nothing at all", lexicon) == {}
+    assert S.sentences(text) == [["the", "bum", "was", "fine"], [], ["next", "one"], ["eneiosure"]]
+    assert S.sentences("No end (an aside.) here 12345") == [["end"], ["here"]] and S.sentences("") == [] and S.sentences("12 345. !") == []
+    assert S.sentences("Verslon enc1osure BURN déjà 110 ab") == [[S.fold(w) for w in ["verslon", "enc1osure", "burn", "déjà"]]]
+
+
+TEXTS = [(1, "Flour and dough. More flour!", "en"), (2, "Flour, dough.", "EN"), (3, "Mast and rudder", None), (4, "", "en"), (5, None, "en"), (None, "dough", "en"), (6, "mast. rudder. mast", "en"), (6, "mast", "en")]
+
+
+def test_words_and_pairs_by_hand(spark):
+    docs = spark.createDataFrame(TEXTS, "doc_id bigint, text string, lang string").withColumn("t", F.lit("x")).repartition(3)
+    got = {(r["lang"], r["t"]): (r["docs"], r["words"]) for r in S.word_counts(docs).collect()}
+    f = S.fold
+    assert got["en", ""] == (5, 0) and got["", ""] == (1, 0) and got["en", f("flour")] == (2, 3) and got["en", f("mast")] == (2, 3) and got["", f("mast")] == (1, 1)
+    index = {f(w): i for i, w in enumerate(["flour", "dough", "mast", "rudder"])}
+    told = spark.createDataFrame([(1, [0.5, 0.5]), (6, [0.0, 1.0]), (77, [1.0, 0.0])], "lid bigint, given array<double>")
+    cells = {(r["kind"], r["i"], r["j"]): r["n"] for r in S.word_pairs(docs, told, index, 2).collect()}
+    assert cells == {(0, 0, 1): 2, (0, 2, 3): 2, (1, 0, 0): 0.5, (1, 0, 1): 0.5, (1, 1, 0): 0.5, (1, 1, 1): 0.5, (1, 2, 1): 2, (1, 3, 1): 1}
+
+
+def test_cells_add_up():
+    cells, want = S._Cells(7), defaultdict(float)
+    rng = np.random.default_rng(1)
+    for _ in range(5):
+        i, j, n = rng.integers(0, 9, 40), rng.integers(0, 7, 40), rng.random(40)
+        cells.add(i, j, n)
+        for a, b, x in zip(i, j, n):
+            want[a, b] += x
+    got = {(a, b): x for _, a, b, x in cells.frame(0).itertuples(index=False)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and cells.frame(0).empty
+
+
+def test_contexts_leave_out_what_languages_explain(spark):
+    """Words 0 and 1 share more documents than by chance, words 2 and 3 only because they are in the small language."""
+    f = lambda *n: [x / s**0.5 for x, s in zip(n, (900, 100))]
+    words = spark.createDataFrame([(0, f(90, 0)), (1, f(90, 0)), (2, f(0, 100)), (3, f(0, 100))], "i bigint, f array<double>")
+    pairs = spark.createDataFrame([(0, 1, 80.0), (2, 3, 100.0)], "i bigint, j bigint, n double")
+    got = {r["i"]: r["features"] for r in S.contexts(pairs, words).collect()}
+    assert sorted(got) == [0, 1] and list(got[0].indices) == [1] and abs(got[1].values.sum() - S.CONTEXT) < 1e-9
+
+
+def _model(flat=False):
+    words = ["dough", "flour", "mast", "rudder", "bow", "the"]
+    topics = np.array([[0.3, 1e-4], [0.3, 1e-4], [1e-4, 0.3], [1e-4, 0.3], [0.09, 0.09], [1e-3, 1e-3]])
+    everywhere = np.array([0.02, 0.02, 0.02, 0.02, 0.02, 0.9])
+    labelled = np.array([[20.0, 2.0], [20.0, 2.0], [2.0, 20.0], [2.0, 20.0], [6.0, 10.0], [50.0, 50.0]])
+    if flat:
+        topics = np.repeat(everywhere[:, None], 2, axis=1)
+    names = S.named_topics(topics / topics.sum(0), everywhere, labelled)
+    on = np.zeros((3, 2), np.float32)
+    on[np.flatnonzero(names >= 0), names[names >= 0]] = 1
+    return names, S.Topics({S.fold(w): i for i, w in enumerate(words)}, np.hstack([topics / topics.sum(0), everywhere[:, None]]).astype(np.float32), on)
+
+
+def test_topics_say_what_a_word_is_on():
+    """A word of two topics follows the topics of its text, and labels alone tell nothing."""
+    names, model = _model()
+    assert names.tolist() == [0, 1]
+    share, each = model.proportions(np.array([0, 1, 4, 2, 3, 4]), np.array([2, 2, 1, 2, 2, 1], np.float32), np.array([0, 3]))
+    assert np.allclose(share.sum(1), 1, atol=1e-5) and each[2, 0] > 3 * each[2, 1] and each[5, 1] > 3 * each[5, 0]
+    texts = ["Flour and dough. The flour. The.", "", "Mast and rudder. Rudder!", "The the.", "Nothing known (at all.)"]
+    assert [{k: round(v, 6) for k, v in x.items()} for x in S.sentence_shares(texts, model)] == [{0: round(2 / 3, 6)}, {}, {1: 1.0}, {}, {}]
+    names, flat = _model(flat=True)
+    assert names.tolist() == [-1, -1] and S.sentence_shares(texts, flat) == [{}] * 5
+
+
+def test_shares_don_t_depend_on_batches(monkeypatch):
+    _, model = _model()
+    rng = random.Random(5)
+    texts = [". ".join(" ".join(rng.choices(["dough", "flour", "mast", "rudder", "bow", "the", "other"], k=rng.randrange(6))) for _ in range(rng.randrange(9))) for _ in range(200)]
+    want = S.sentence_shares(texts, model)
+    monkeypatch.setattr(S, "INFERENCE_WORDS", 1)
+    assert S.sentence_shares(texts, model) == want and want == [S.sentence_shares([t], model)[0] for t in texts]
 
 
 def test_subjects_on_held_out_texts(spark):
@@ -160,40 +222,7 @@ def test_subjects_on_held_out_texts(spark):
     assert rows(S.subjects_of(documents.limit(0), given, areas)) == []
 
 
-def test_topics_say_what_a_word_is_on_whatever_the_number_of_labels():
-    """A word of two topics follows the topics of its document, with ten times the labels too."""
-    words = ["dough", "flour", "mast", "rudder", "bow"]
-    topic_words = np.array([[30.0, 1e-3], [30.0, 1e-3], [1e-3, 30.0], [1e-3, 30.0], [9.0, 9.0]])
-    labelled = np.array([[20.0, 2.0], [20.0, 2.0], [2.0, 20.0], [2.0, 20.0], [6.0, 10.0]])
-    for many in (1, 10):
-        topics, terms = S.named_topics(topic_words, labelled * many)
-        model = S.Topics({w: i for i, w in enumerate(words)}, {}, topic_words / topic_words.sum(0), topics, terms)
-        share, each = model.proportions(np.array([0, 1, 4]), np.array([2.0, 2.0, 1.0]))
-        assert abs(share.sum() - 1) < 1e-9 and share[0] > 0.9 and each[2, 0] > 0.9
-        assert [s for s, _ in model.lexicon(["dough", "flour", "bow"])["bow"]] == [0] and [s for s, _ in model.lexicon(["mast", "rudder", "bow"])["bow"]] == [1]
-        assert S.proportions("Flour and dough. The bow.", model)[0] == 1 and S.proportions("Mast and rudder. The bow.", model)[1] == 1
-
-
-def test_function_words_are_told_by_labels_and_by_language(spark):
-    """A subject's word in half of a language's texts stays, a word of all subjects doesn't, and only the language's own labels count."""
-    docs = [(i, "es" if i < 100 else "en", (["de"] if i < 100 else ["the", "flour" if i % 5 else "bow"]) + (["suma"] if i % 2 and i < 100 else [])) for i in range(400)]
-    told = spark.createDataFrame([(i, ("storage" if i % 2 else "law") if i < 100 else ("law", "storage", "travel", "cooking")[i * 7 % 4], 1.0) for i in range(400)], "lid bigint, subject string, share double")
-    vocabulary, total, empty = S._vocabulary(spark.createDataFrame(docs, "doc_id bigint, lang string, w array<string>"), told)
-    assert total == 400 and "suma" in vocabulary and "de" not in vocabulary and "the" not in vocabulary
-    assert "suma" not in empty["es"] and {"de", "the"} <= empty["es"] and "bow" in vocabulary
-    model = S.Topics({"suma": 0}, empty, np.ones((1, 1)), np.array([[0.9, 0.1]]), np.array([[0.9, 0.1]]))
-    assert model.lexicon(["suma"], "ES") and not S.Topics({"suma": 0}, {"es": {"suma"}}, *[model.words, model.subjects, model.terms]).lexicon(["suma"], "es")
-
-
-@pytest.mark.parametrize("n", [300, 3000])
-def test_every_document_is_in_one_round_of_a_pass(spark, n):
-    parts = S.parted(spark.range(n).select(F.col("id").alias("doc_id")))
-    assert sorted(r[0] for p in parts for r in p.collect()) == list(range(n)) and len(parts) == S.PARTS
-
-
-def test_sentences_in_quotes_count(spark):
+def test_sentences_in_quotes_count():
     text = '"The oven is hot." He read "a short name" aloud. "We sail at noon," she said. A stray " quote. Here it goes on. Then " ends.'
     words = [w for s in S.sentences(text) for w in s]
     assert len(S.sentences(text)) == 6 and S.fold("oven") in words and S.fold("sail") in words and S.fold("goes") in words and S.fold("short") not in words
-    df = spark.createDataFrame([(text,)], "t string")
-    assert df.select(S.words_of(F.col("t"))).first()[0] == words

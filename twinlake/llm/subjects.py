@@ -3,298 +3,329 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.clustering import LDA
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
-
-#: Topics, passes over all documents, and disjoint parts of the documents, each of which is a round of a pass.
-TOPICS, PASSES, PARTS = 128, 3, 20
-#: Weight of each topic in a document, beside the words on it.
-DOCUMENT_PRIOR = 0.05
-#: A word of more than this share of a language's documents is common; languages under 1 % of documents have none.
-COMMON_SHARE = 0.2
-#: How far above chance labels must tie a common word to a subject in a language, lest it be a function word there, and by how many labels at chance that is held back.
-COMMON_SPEAKS, COMMON_DOUBT = 0.25, 20.0
+
+from twinlake.session import cut
+
+#: Topics, rounds of their fit, and the weight each word's context has in it, however often the word comes.
+TOPICS, ROUNDS, CONTEXT = 128, 30, 1000.0
+#: Weight of each topic in a document, and of the words that are on no topic, beside the words on it.
+TOPIC_PRIOR, PLAIN_PRIOR = 0.05, 5.0
 #: A word needs this share of all documents, and five of them, to be in the vocabulary.
-RARE_SHARE = 0.001
-#: Terms by which a topic is known; part of a term's own subjects that is even, however many its labels; how far above chance a word speaks for a subject.
-TOP_TERMS, TERM_DOUBT, SPEAKS = 25, 0.1, 0.34
-#: Rounds in which a document's topics are inferred, at most.
-INFERENCE_ROUNDS = 30
-#: Share of sentences from which a text is on a subject: a fifth, with room for one sentence missed in thirty.
-SENTENCE_SHARE = 0.17
+RARE_SHARE, RARE_DOCS = 0.001, 5
+#: How many times as often as by chance two words must share documents, and by how many standard deviations more, to be in each other's context.
+OFTEN, ABOVE_CHANCE = 1.5, 2.0
+#: Terms by which a topic is known, and how far above chance their labels must agree to name it.
+TOP_TERMS, NAMED = 25, 0.2
+#: Labelled documents that name topics, at most: a bound on what is broadcast, not on what is scored.
+LABELLED = 50_000
+#: Rounds in which documents' topics are inferred, and words that are inferred together.
+INFERENCE_ROUNDS, INFERENCE_WORDS = 8, 8192
+#: Words on a subject that a sentence on it has at least, and share of sentences from which a text is on it: a fifth, with room for one sentence missed in thirty.
+SENTENCE_WORDS, SENTENCE_SHARE = 0.5, 0.17
+SEED = 7
+_BLOCK, _CELLS = 2048, 1 << 21
 
 # Letters written alike by people and scanners fold to one.
 _FROM, _TO = "áàäâãåéèëêíìïîóòöôõúùüûñçl1|c0", "aaaaaaeeeeiiiiooooouuuuneiiieo"
 _FOLD = str.maketrans(_FROM, _TO)
 _WORD = re.compile(r"[^\W_]{3,}")
 # A short phrase in quotes that a sentence's own words lead to or go on from; whole sentences in quotes are none.
-_PHRASE = r'(?<=\w\s)"[^".!?\n]{0,60}(?<!,)"|"[^".!?\n]{0,60}(?<!,)"(?=,?\s[a-zäöüßáéíóúñ])'
-_ASIDE, _QUOTED = re.compile(r"\(([^()]*)\)"), re.compile(_PHRASE)
+_QUOTED = re.compile(r'(?<=\w\s)"[^".!?\n]{0,60}(?<!,)"|"[^".!?\n]{0,60}(?<!,)"(?=,?\s[a-zäöüßáéíóúñ])')
+_ASIDE = re.compile(r"\(([^()]*)\)")
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
 
 
-def words_of(text: Column) -> Column:
-    """Folded words of three letters or more, without quoted phrases and bracketed asides."""
-    body = F.regexp_replace(F.regexp_replace(text, _PHRASE.replace(r"\w", r"[\p{L}\p{N}_]"), " "), r"\([^()]*\)", " ")
-    raw = F.filter(F.split(F.lower(body), r"[^\p{L}\p{N}]+"), lambda w: (F.length(w) >= 3) & w.rlike(r"\p{L}"))
-    return F.transform(raw, lambda w: F.translate(F.regexp_replace(w, "rn", "m"), _FROM, _TO))
-
-
 def fold(word: str) -> str:
     return word.replace("rn", "m").translate(_FOLD)
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The text's sentences as lists of folded words; an aside of its own is a sentence without words."""
-    body = _QUOTED.sub(" ", text).replace('"', " ")
-    body = _ASIDE.sub(lambda m: " -aside-. " if m[1].rstrip()[-1:] in (".", "!", "?") else " ", body).lower()
+    """The text's sentences as lists of folded words of three letters or more; an aside of its own is a sentence without words."""
+    body = _QUOTED.sub(" ", text).replace('"', " ") if '"' in text else text
+    if "(" in body:
+        body = _ASIDE.sub(lambda m: " xx. " if m[1].rstrip()[-1:] in (".", "!", "?") else " ", body)
     out = []
-    for s in _SENTENCE.split(body):
-        words = _WORD.findall(s)
-        if words or any(c.isalpha() for c in s):
-            out.append([] if words == ["aside"] else [fold(w) for w in words if not w.isdecimal()])
+    for s in _SENTENCE.split(body.lower()):
+        words = [w for w in _WORD.findall(s) if not w.isdecimal()]
+        if words:
+            out.append(fold("\n".join(words)).split("\n"))
+        elif any(c.isalpha() for c in s):
+            out.append([])
     return out
 
 
-def _function_words(seen: DataFrame, told: DataFrame, counts: DataFrame, sizes: dict[str, int]) -> dict[str, set[str]]:
-    """By language the words that tell nothing there; ``''`` stands for all small and unknown languages.
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"))
+
+
+def word_counts(documents: DataFrame) -> DataFrame:
+    """``(lang, t, docs, words)``: in how many documents of a language a word is and how often; ``t`` is '' for the documents themselves."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple[Counter, Counter]] = {}
+
+        def rows() -> pd.DataFrame:
+            out = [(lang, t, n, words[t]) for lang, (docs, words) in held.items() for t, n in docs.items()]
+            held.clear()
+            return pd.DataFrame(out, columns=["lang", "t", "docs", "words"])
+
+        for b in batches:
+            for text, lang in zip(b["text"], b["lang"]):
+                docs, words = held.setdefault(lang, (Counter(), Counter()))
+                mine = [w for s in sentences(text) for w in s]
+                words.update(mine)
+                docs.update({"", *mine})
+            if sum(len(docs) for docs, _ in held.values()) > _CELLS:
+                yield rows()
+        yield rows()
+
+    each = _texts(documents).select("text", "lang").mapInPandas(count, "lang string, t string, docs bigint, words bigint")
+    return each.groupBy("lang", "t").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"))
+
 
-    A word common in a language is a function word unless labels tie it to a subject there, however
-    many documents hold it. In the other languages, whose documents may be marked wrongly, it is left
-    out too, unless labels tie it to a subject there.
+class _Cells:
+    """Sums by (row, column) in sorted arrays, so that memory follows the cells in use."""
+
+    def __init__(self, columns: int) -> None:
+        self.columns, self.at, self.of = columns, np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> None:
+        at = np.concatenate([self.at, rows.astype(np.int64) * self.columns + columns])
+        self.at, where = np.unique(at, return_inverse=True)
+        self.of = np.bincount(where, np.concatenate([self.of, values]), len(self.at))
+
+    def frame(self, kind: int) -> pd.DataFrame:
+        out = pd.DataFrame({"kind": kind, "i": self.at // self.columns, "j": self.at % self.columns, "n": self.of})
+        self.at, self.of = self.at[:0], self.of[:0]
+        return out
+
+
+def word_pairs(documents: DataFrame, told: DataFrame, index: dict[str, int], subjects: int) -> DataFrame:
+    """``(kind, i, j, n)``: of kind 0 in how many documents words i < j are both, of kind 1 labels of subject j on documents with word i.
+
+    ``told (lid, given)`` has the label weights of each labelled document, one per subject. A task adds up
+    its documents before anything is shuffled.
     """
-    size = F.create_map(*[F.lit(x) for kv in sizes.items() for x in (kv[0], float(kv[1]))]) if sizes else F.create_map(F.lit("-"), F.lit(1.0))
-    common = {(r["lang"], r["t"]) for r in counts.filter(F.col("n") > COMMON_SHARE * F.try_element_at(size, F.col("lang"))).select("lang", "t").collect()}
-    if not common:
-        return {}
-    labelled = seen.join(told, F.col("doc_id") == F.col("lid")).select("lang", "w", "subject", "share")
-    base, n = defaultdict(float), defaultdict(float)
-    for r in labelled.groupBy("lang", "subject").agg(F.sum("share").alias("n")).collect():
-        base[r["lang"], r["subject"]] = r["n"]
-        n[r["lang"]] += r["n"]
-    wanted = seen.sparkSession.createDataFrame([(t,) for t in sorted({t for _, t in common})], "known string")
-    of = defaultdict(dict)
-    for r in labelled.select("lang", F.explode("w").alias("t"), "subject", "share").join(F.broadcast(wanted), F.col("t") == F.col("known"), "left_semi").groupBy("lang", "t", "subject").agg(F.sum("share").alias("n")).collect():
-        of[r["lang"], r["t"]][r["subject"]] = r["n"]
-
-    def tells(lang: str, t: str) -> bool:
-        mine = of.get((lang, t), {})
-        held = sum(mine.values()) + COMMON_DOUBT
-        chance = {s: base[lang, s] / n[lang] for s in mine}
-        return any((x + COMMON_DOUBT * chance[s]) / held - chance[s] >= COMMON_SPEAKS * (1 - chance[s]) > 0 for s, x in mine.items())
-
-    empty = {t for lang, t in common if not tells(lang, t)}
-    return {lang: {t for t in empty if not tells(lang, t)} for lang in ["", *sizes]}
-
-
-def _vocabulary(docs: DataFrame, told: DataFrame) -> tuple[list[str], int, dict[str, set[str]]]:
-    """Words for the topics, the number of documents, and each large language's function words."""
-    total = docs.count()
-    large = [r["lang"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).filter((F.col("lang") != "") & (F.col("n") >= 0.01 * total)).orderBy("lang").collect()]
-    seen = docs.select("doc_id", F.when(F.col("lang").isin(large), F.col("lang")).otherwise("").alias("lang"), F.array_distinct("w").alias("w"))
-    sizes = {r["lang"]: r["n"] for r in seen.filter("lang != ''").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    counts = seen.select("lang", F.explode("w").alias("t")).groupBy("lang", "t").agg(F.count("*").alias("n"))
-    empty = _function_words(seen, told, counts, sizes)
-    ignored = seen.sparkSession.createDataFrame([(k, t) for k in sorted(empty) for t in sorted(empty[k])], "il string, it string")
-    telling = counts.join(F.broadcast(ignored), (F.col("lang") == F.col("il")) & (F.col("t") == F.col("it")), "left_anti")
-    kept = telling.groupBy("t").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(5, RARE_SHARE * total)).select("t")
-    return sorted(r[0] for r in kept.collect()), total, empty
-
-
-def _without(docs: DataFrame, empty: dict[str, set[str]]) -> DataFrame:
-    """``docs`` whose words ``w`` are without the function words of their language."""
-
-    @F.udf("array<string>", useArrow=True)
-    def telling(lang: str, w: list[str]) -> list[str]:
-        drop = empty.get(lang, empty.get("", ()))
-        return [x for x in w if x not in drop]
-
-    return docs.withColumn("w", telling("lang", "w")) if any(empty.values()) else docs
-
-
-def named_topics(topic_words: np.ndarray, labelled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subjects of topics (topics x subjects) and of terms (words x subjects), after inspection of the topics' top terms.
-
-    ``topic_words`` are the topics' weights (words x topics), ``labelled`` counts of labelled documents
-    (words x subjects), already brought to equal sums per subject. A topic's subjects are those of
-    the labels of its top terms, by how much more the topic uses them than the corpus. A term's own
-    subjects only part a topic that holds several: they are shares of its labels, a tenth of them
-    even, so that their say doesn't grow with the number of labels.
+    v = len(index)
+    rows = _texts(documents).join(F.broadcast(told), F.col("doc_id") == F.col("lid"), "left").select("text", "given")
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs, labels = _Cells(v), _Cells(subjects)
+        for b in batches:
+            for begin in range(0, len(b), _BLOCK):
+                part = b.iloc[begin : begin + _BLOCK]
+                own = [np.unique([index[w] for s in sentences(t) for w in s if w in index]).astype(np.int64) for t in part["text"]]
+                has = np.zeros((len(part), v), np.float32)
+                has[np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, np.int64)])] = 1
+                for low in range(0, v, _BLOCK):
+                    both = np.triu(has[:, low : low + _BLOCK].T @ has[:, low:], 1)
+                    i, j = np.nonzero(both)
+                    pairs.add(i + low, j + low, both[i, j])
+                for x, given in zip(own, part["given"]):
+                    if given is not None and len(x):
+                        weights = np.asarray(given, float)
+                        on = np.flatnonzero(weights)
+                        labels.add(np.repeat(x, len(on)), np.tile(on, len(x)), np.tile(weights[on], len(x)))
+                if len(pairs.at) > _CELLS:
+                    yield pairs.frame(0)
+        yield pairs.frame(0)
+        yield labels.frame(1)
+
+    return rows.mapInPandas(pair, "kind int, i bigint, j bigint, n double").groupBy("kind", "i", "j").agg(F.sum("n").alias("n"))
+
+
+def contexts(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """``(i, features)``: for each word how much more often than by chance it shares documents with others.
+
+    ``pairs (i, j, n)``, ``words (i, f)``: ``f`` has per language the word's documents over the square root
+    of all of them, so that a product of two words' ``f`` is the number of documents they share by chance,
+    and languages of any size form no topics of their own. Every context has the same total.
+    """
+    f = F.broadcast(words)
+    both = pairs.join(f.select(F.col("i").alias("a"), F.col("f").alias("fa")), F.col("i") == F.col("a")).join(f.select(F.col("i").alias("b"), F.col("f").alias("fb")), F.col("j") == F.col("b"))
+    chance = F.aggregate(F.zip_with("fa", "fb", lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    above = both.select("i", "j", F.when(F.col("n") > OFTEN * chance + ABOVE_CHANCE * F.sqrt(chance), F.col("n") - chance).alias("x")).filter("x > 0")
+    each = above.unionByName(above.select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
+    size = words.count()
+
+    @F.udf(VectorUDT())
+    def vector(cells):
+        total = sum(c["x"] for c in cells)
+        return Vectors.sparse(size, [(c["j"], c["x"] / total * CONTEXT) for c in cells])
+
+    return each.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("cells")).select("i", vector("cells").alias("features"))
+
+
+def named_topics(topic_words: np.ndarray, everywhere: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    """The subject of each topic (-1: none), after inspection of the topics' top terms.
+
+    ``topic_words`` are the topics' weights (words x topics, each topic's sum 1), ``everywhere`` the words'
+    shares in all texts, ``labelled`` counts of labelled documents (words x subjects), already brought to
+    equal sums per subject. A topic's top terms are those it uses most beyond their use everywhere. It is
+    on the subject that their labels have in common, if they agree well enough above chance.
     """
-    v, k = topic_words.shape
     n = labelled.shape[1]
     of_word = (labelled + 0.3) / (labelled + 0.3).sum(1, keepdims=True)
-    in_topic = topic_words / topic_words.sum(0, keepdims=True)
-    everywhere = topic_words.sum(1) / topic_words.sum()
-    telling = in_topic * np.maximum(np.log(in_topic / everywhere[:, None] + 1e-12), 0)
-    topics = np.full((k, n), 1 / n)
-    for t in range(k):
-        top = np.argsort(-telling[:, t])[:TOP_TERMS]
+    telling = topic_words * np.maximum(np.log(topic_words / everywhere[:, None]), 0)
+    out = np.full(topic_words.shape[1], -1)
+    for t in range(len(out)):
+        top = np.argsort(-telling[:, t], kind="stable")[:TOP_TERMS]
         if (total := telling[top, t].sum()) > 0:
-            topics[t] = (telling[top, t][:, None] * of_word[top]).sum(0) / total
-    return topics, (1 - TERM_DOUBT) * of_word + TERM_DOUBT / n
+            share = (telling[top, t] @ of_word[top]) / total
+            if share.max() - 1 / n >= NAMED * (1 - 1 / n) or n == 1:
+                out[t] = int(share.argmax())
+    return out
 
 
 @dataclass(frozen=True)
 class Topics:
-    """A fitted topic model with its subjects."""
+    """A fitted topic model whose topics have subjects."""
 
     index: dict[str, int]
-    #: By language the words that tell nothing there, under '' those for every other language.
-    empty: dict[str, set[str]]
-    #: Words x topics, each topic's sum 1.
+    #: Words x (topics + 1), each column's sum 1; the last column has the words' shares in all texts.
     words: np.ndarray
-    #: Topics x subjects, and words x subjects.
+    #: (Topics + 1) x subjects: 1 where the topic is on the subject.
     subjects: np.ndarray
-    terms: np.ndarray
 
-    def proportions(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A document's topic proportions, and each word's (words x topics), of words ``at`` that occur ``n`` times."""
+    def proportions(self, at: np.ndarray, n: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Topic proportions of documents (documents x topics) and of their words (words x topics).
+
+        The documents' distinct words ``at``, each ``n`` times there, lie one document after the other, each from ``begin`` on.
+        """
         k = self.words.shape[1]
-        of = self.words[at].astype(float)
-        share = np.full(k, 1 / k)
+        of = self.words[at]
+        prior = np.full(k, TOPIC_PRIOR, np.float32)
+        prior[-1] = PLAIN_PRIOR
+        doc = np.repeat(np.arange(len(begin)), np.diff([*begin, len(at)]))
+        size = np.add.reduceat(n, begin)[:, None] + prior.sum()
+        share = np.full((len(begin), k), 0.5 / (k - 1) if k > 1 else 0.5, np.float32)
+        share[:, -1] = 0.5
         for _ in range(INFERENCE_ROUNDS):
-            each = of * share
-            now = (n @ (each / each.sum(1, keepdims=True)) + DOCUMENT_PRIOR) / (n.sum() + DOCUMENT_PRIOR * k)
-            moved, share = np.abs(now - share).sum(), now
-            if moved < 1e-3:
-                break
-        each = of * share
+            weight = n / np.einsum("wk,wk->w", of, share[doc])
+            share = ((share * np.add.reduceat(of * weight[:, None], begin, axis=0) + prior) / size).astype(np.float32)
+        each = of * share[doc]
         return share, each / each.sum(1, keepdims=True)
 
-    def lexicon(self, words: Iterable[str], lang: str | None = None) -> dict[str, list[tuple[int, float]]]:
-        """The telling words of one document, each with its subjects and weights.
-
-        A word has the subjects of the topics it is on in this document, topics of several subjects
-        being parted by the term's own.
-        """
-        drop = self.empty.get((lang or "").lower(), self.empty.get("", ()))
-        count = Counter(w for w in words if w in self.index and w not in drop)
-        if not count:
-            return {}
-        at = np.array([self.index[w] for w in count])
-        _, each = self.proportions(at, np.array(list(count.values()), float))
-        weights = ((each / (self.terms[at] @ self.subjects.T)) @ self.subjects) * self.terms[at]
-        least = 1 / weights.shape[1] + SPEAKS * (1 - 1 / weights.shape[1])
-        return {w: [(int(s), float(x[s])) for s in np.flatnonzero(x >= least)] for w, x in zip(count, weights) if x.max() >= least}
-
-
-def parted(vectors: DataFrame) -> list[DataFrame]:
-    """``vectors (doc_id, features)`` in ``PARTS`` disjoint parts that hold every document once."""
-    return [vectors.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == p) for p in range(PARTS)]
-
 
-def topics_of(vectors: DataFrame, words: int) -> np.ndarray:
-    """Weights (words x topics) of a latent Dirichlet allocation fitted to ``vectors (doc_id, features)``.
+def sentence_shares(texts: list[str], model: Topics) -> list[dict[int, float]]:
+    """For each text the share of its sentences on each subject; a sentence is on one subject or none.
 
-    Online variational Bayes by Spark's optimizer. Its own rounds are drawn at random and pass documents
-    over, so it is handed the rounds instead: each document is in one round of each pass.
+    The topic proportions of the texts are inferred from all their words; with them those of each word
+    in its text, and a sentence is on the subject whose topics have most of its words.
     """
-    spark = vectors.sparkSession
-    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
-    of = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset
-    lda = mllib.LDA().setK(TOPICS).setDocConcentration(DOCUMENT_PRIOR).setTopicConcentration(0.02).setSeed(7)
-    optimizer = mllib.OnlineLDAOptimizer().setTau0(10.0).setKappa(0.7).setMiniBatchFraction(1.0 / PARTS).setOptimizeDocConcentration(False)
-    optimizer.initialize(of(vectors._jdf, "features"), lda)
-    parts = [of(p._jdf, "features") for p in parted(vectors)]
-    for _ in range(PASSES):
-        for part in parts:
-            optimizer.submitMiniBatch(part)
-    matrix = optimizer.getLDAModel(spark.sparkContext._gateway.new_array(spark._jvm.double, 0)).topicsMatrix()
-    return np.maximum(np.array(list(matrix.toArray())).reshape(TOPICS, words).T, 1e-12)
+    out: list[dict[int, float]] = [{} for _ in texts]
+    parsed = [[[model.index[w] for w in dict.fromkeys(s) if w in model.index] for s in sentences(t)] for t in texts]
+    filled = [d for d, p in enumerate(parsed) if any(p)]
+    while filled:
+        held, at, n, begin, place, begins, owner, words = [], [], [], [], [], [], [], 0
+        while filled and (not held or words < INFERENCE_WORDS):
+            d = filled.pop()
+            ids, where, count = np.unique(np.fromiter((w for s in parsed[d] for w in s), np.int64), return_inverse=True, return_counts=True)
+            begin.append(words)
+            at.append(ids)
+            n.append(count)
+            sizes = [len(s) for s in parsed[d] if s]
+            begins += (sum(map(len, place)) + np.cumsum([0, *sizes[:-1]])).tolist()
+            owner += [len(held)] * len(sizes)
+            place.append(where + words)
+            words += len(ids)
+            held.append(d)
+        _, each = model.proportions(np.concatenate(at), np.concatenate(n).astype(np.float32), np.array(begin))
+        score = np.add.reduceat((each @ model.subjects)[np.concatenate(place)], begins, axis=0)
+        best = score.argmax(1)
+        for o, s, x in zip(owner, best.tolist(), score.max(1).tolist()):
+            if x >= SENTENCE_WORDS:
+                mine = out[held[o]]
+                mine[s] = mine.get(s, 0.0) + 1 / len(parsed[held[o]])
+    return out
 
 
 def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> tuple[list[str], Topics | None]:
-    """The subjects, and the topics fitted to the documents; None without subjects or vocabulary.
-
-    The topics are fitted to all documents, each in every one of ``PASSES`` passes whatever their number. Vocabulary and label counts are over all documents and labels; what reaches
-    the driver is bounded by the vocabulary: a word needs ``RARE_SHARE`` of the documents, so
-    there are at most (mean words a document) / ``RARE_SHARE`` of them.
+    """The subjects, and the topics fitted to the documents; None without subjects or topics.
+
+    The documents of the allocation are the vocabulary's words, each with its context in all texts
+    (``contexts``): a word network. So the fit has as many rows as the vocabulary, whatever the number
+    of texts, and each text has its part in it. Words are counted in one pass over the texts, pairs of words
+    in a second. What reaches the driver is bounded by the vocabulary: a word needs ``RARE_SHARE`` of the
+    documents, so there are at most (mean words a document) / ``RARE_SHARE`` of them; beside it there is a
+    number for each word and language mark.
     """
-    described = {r["subject"]: f"{r['subject']} {r['description'] or ''}" for r in areas.filter("subject IS NOT NULL").select("subject", "description").orderBy("subject").limit(1000).collect()}
+    described: dict[str, str] = {}
+    for r in areas.filter("subject IS NOT NULL").select("subject", "description").distinct().orderBy("subject", "description").toLocalIterator():
+        described[r["subject"]] = f"{described.get(r['subject'], r['subject'])} {r['description'] or ''}"
     subjects = sorted(described)
-    docs = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.coalesce(F.lower("lang"), F.lit("")).alias("lang"), words_of(F.col("text")).alias("w")).persist(StorageLevel.DISK_ONLY)
-    given = labels.filter("doc_id IS NOT NULL").filter(F.col("subject").isin(subjects)).groupBy("doc_id", "subject").agg(F.count("*").alias("c"))
-    told = given.join(given.groupBy("doc_id").agg(F.sum("c").alias("all")), "doc_id").select(F.col("doc_id").alias("lid"), "subject", (F.col("c") / F.col("all")).alias("share"))
-    vocabulary, total, empty = _vocabulary(docs, told)
-    if not vocabulary or not subjects:
-        docs.unpersist()
-        return subjects, None
-    index = {w: i for i, w in enumerate(vocabulary)}
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, "w", "features").transform(_without(docs, empty)).select("doc_id", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    topic_words = topics_of(vectors, len(vocabulary))
-    vectors.unpersist()
-
     at = {s: i for i, s in enumerate(subjects)}
-    with_words = _without(docs, empty).select("doc_id", F.array_distinct("w").alias("w")).join(told, F.col("doc_id") == F.col("lid"))
-    counts, sizes = np.zeros((len(vocabulary), len(subjects))), np.zeros(len(subjects))
-    for r in told.groupBy("subject").agg(F.sum("share").alias("n")).collect():
-        sizes[at[r["subject"]]] = r["n"]
-    wanted = documents.sparkSession.createDataFrame([(w,) for w in vocabulary], "known string")
-    for r in with_words.select(F.explode("w").alias("t"), "subject", "share").join(F.broadcast(wanted), F.col("t") == F.col("known"), "left_semi").groupBy("t", "subject").agg(F.sum("share").alias("n")).collect():
-        counts[index[r["t"]], at[r["subject"]]] = r["n"]
-    docs.unpersist()
+    counts = cut(word_counts(documents))
+    sizes = {r["lang"]: r["docs"] for r in counts.filter("t = ''").collect()}
+    least = max(RARE_DOCS, RARE_SHARE * sum(sizes.values()))
+    kept = counts.filter("t != ''").groupBy("t").agg(F.sum("docs").alias("docs"), F.sum("words").alias("words"), F.collect_list(F.struct("lang", "docs")).alias("langs")).filter(F.col("docs") >= least).orderBy("t").collect()
+    if not kept or not subjects:
+        return subjects, None
+    index, marks = {r["t"]: i for i, r in enumerate(kept)}, {k: i for i, k in enumerate(sorted(sizes))}
+    by_lang = np.zeros((len(kept), len(marks)))
+    for i, r in enumerate(kept):
+        for x in r["langs"]:
+            by_lang[i, marks[x["lang"]]] = x["docs"] / sizes[x["lang"]] ** 0.5
+    spark = documents.sparkSession
+    words = spark.createDataFrame([(i, f) for i, f in enumerate(by_lang.tolist())], "i bigint, f array<double>")
+
+    given = labels.filter("doc_id IS NOT NULL").join(F.broadcast(spark.createDataFrame([(s, i) for s, i in at.items()], "known string, s int")), F.col("subject") == F.col("known")).groupBy("doc_id", "s").agg(F.count("*").alias("c"))
+    shares = given.groupBy(F.col("doc_id").alias("lid")).agg(F.sum("c").alias("all"), F.map_from_entries(F.collect_list(F.struct("s", "c"))).alias("c"))
+    told = shares.select("lid", F.transform(F.lit(list(range(len(subjects)))), lambda s: F.coalesce(F.try_element_at("c", s), F.lit(0)) / F.col("all")).alias("given")).orderBy(F.xxhash64("lid"), "lid").limit(LABELLED)
+    cells = cut(word_pairs(documents, told, index, len(subjects)))
+
+    data = cut(contexts(cells.filter("kind = 0").select("i", "j", "n"), words))
+    if data.isEmpty():
+        return subjects, None
+    fit = LDA(k=TOPICS, maxIter=ROUNDS, optimizer="em", docConcentration=[1.01], topicConcentration=1.001, seed=SEED).fit(data.select("features"))
+    weights = np.asarray(fit.topicsMatrix().toArray()) + 1e-3 / len(index)
+    topic_words = weights / weights.sum(0)
+    everywhere = np.array([r["words"] for r in kept], float)
+    everywhere /= everywhere.sum()
+
+    labelled, total = np.zeros((len(index), len(subjects))), np.array(told.agg(*[F.sum(F.col("given")[i]).alias(f"_{i}") for i in range(len(subjects))]).first(), dtype=float)
+    for r in cells.filter("kind = 1").collect():
+        labelled[r["i"], r["j"]] = r["n"]
+    total = np.nan_to_num(total)
     for s, text in described.items():  # each description counts as one labelled document
-        sizes[at[s]] += 1
+        total[at[s]] += 1
         for w in {fold(w) for w in _WORD.findall(text.lower())} & index.keys():
-            counts[index[w], at[s]] += 1
-    topics, terms = named_topics(topic_words, counts / sizes * sizes.mean())
-    return subjects, Topics(index, empty, (topic_words / topic_words.sum(0)).astype(np.float32), topics, terms)
-
-
-def proportions(text: str, lexicon: dict[str, list[tuple[int, float]]] | Topics, lang: str | None = None) -> dict[int, float]:
-    """Share of the text's sentences on each subject; a sentence is on one subject or none.
-
-    First by its words alone, then again with the subjects' shares in the text as prior, which settles
-    words of two subjects.
-    """
-    scores, parts = [], sentences(text)
-    if isinstance(lexicon, Topics):
-        lexicon = lexicon.lexicon((w for words in parts for w in words), lang)
-    for words in parts:
-        score: dict[int, float] = {}
-        for w in set(words):
-            for s, x in lexicon.get(w, ()):
-                score[s] = score.get(s, 0.0) + x
-        if score:
-            scores.append(score)
-    share: dict[int, float] = {}
-    for _ in range(2):
-        now: dict[int, float] = {}
-        for score in scores:
-            best = min(score, key=lambda s: (-score[s] * (share.get(s, 0.0) + 0.02 if share else 1.0), s))
-            now[best] = now.get(best, 0.0) + 1 / len(parts)
-        share = now
-    return share
+            labelled[index[w], at[s]] += 1
+    names = named_topics(topic_words, everywhere, labelled / total * total.mean())
+    on = np.zeros((TOPICS + 1, len(subjects)), np.float32)
+    on[np.flatnonzero(names >= 0), names[names >= 0]] = 1
+    return subjects, Topics(index, np.hstack([topic_words, everywhere[:, None]]).astype(np.float32), on)
 
 
 def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """``(doc_id, subject, share)``: each subject of each document with its share of the sentences.
 
-    Each document's topic proportions are inferred from all its words; with them the topics of each word
-    in it, and with those what a sentence is on. Shares are counted over sentences rather than tokens. Every document is scored over its whole text. Documents
-    with a null id or text, and subjects without a sentence, give no row; the same id twice gives
-    each row's own subjects. Without labels, topics are mapped by the subjects' descriptions alone.
+    Subjects come from the topics inferred for each document (``sentence_shares``); labels only name the
+    topics. Shares are counted over sentences rather than tokens. Every document is scored over its whole
+    text. Documents with a null id or text, and subjects without a sentence, give no row; the same id twice
+    gives each row's own subjects. Without labels, topics are named by the subjects' descriptions alone.
     """
     subjects, topics = fitted_topics(documents, labels, areas)
-
     if topics is None:
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, subjects[s], x) for d, t, k in zip(b["doc_id"], b["text"], b["lang"]) for s, x in sorted(proportions(t, topics, k).items())]
+            found = sentence_shares(list(b["text"]), topics)
+            rows = [(d, subjects[s], x) for d, shares in zip(b["doc_id"], found) for s, x in sorted(shares.items())]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang").mapInPandas(score, "doc_id bigint, subject string, share double")
+    return _texts(documents).select("doc_id", "text").mapInPandas(score, "doc_id bigint, subject string, share double")
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, areas: DataFrame, least: float = SENTENCE_SHARE) -> DataFrame:
