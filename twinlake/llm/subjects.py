@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ TOP_TERMS, NAMED = 25, 0.2
 #: Labelled documents that name topics, at most: a bound on what is broadcast, not on what is scored.
 LABELLED = 50_000
 #: Rounds in which documents' topics are inferred, and words that are inferred together.
-INFERENCE_ROUNDS, INFERENCE_WORDS = 8, 8192
+INFERENCE_ROUNDS, INFERENCE_WORDS = 5, 4096
 #: Words on a subject that a sentence on it has at least, and share of sentences from which a text is on it: a fifth, with room for one sentence missed in thirty.
 SENTENCE_WORDS, SENTENCE_SHARE = 0.5, 0.17
 SEED = 7
@@ -38,30 +37,63 @@ _BLOCK, _CELLS = 2048, 1 << 21
 # Letters written alike by people and scanners fold to one.
 _FROM, _TO = "áàäâãåéèëêíìïîóòöôõúùüûñçl1|c0", "aaaaaaeeeeiiiiooooouuuuneiiieo"
 _FOLD = str.maketrans(_FROM, _TO)
-_WORD = re.compile(r"[^\W_]{3,}")
 # A short phrase in quotes that a sentence's own words lead to or go on from; whole sentences in quotes are none.
 _QUOTED = re.compile(r'(?<=\w\s)"[^".!?\n]{0,60}(?<!,)"|"[^".!?\n]{0,60}(?<!,)"(?=,?\s[a-zäöüßáéíóúñ])')
 _ASIDE = re.compile(r"\(([^()]*)\)")
-_SENTENCE = re.compile(r"[.!?]+(?:\s+|$)|\n+")
+_TOKEN = re.compile(r"[^\W_]+|[.!?]+(?=\s|$)|\n+")
+#: Codes of words out of the vocabulary, of numbers, and of the end of a sentence.
+_OTHER, _NUMBER, _END = -1, -2, -3
 
 
 def fold(word: str) -> str:
     return word.replace("rn", "m").translate(_FOLD)
 
 
-def sentences(text: str) -> list[list[str]]:
-    """The text's sentences as lists of folded words of three letters or more; an aside of its own is a sentence without words."""
-    body = _QUOTED.sub(" ", text).replace('"', " ") if '"' in text else text
-    if "(" in body:
-        body = _ASIDE.sub(lambda m: " xx. " if m[1].rstrip()[-1:] in (".", "!", "?") else " ", body)
-    out = []
-    for s in _SENTENCE.split(body.lower()):
-        words = [w for w in _WORD.findall(s) if not w.isdecimal()]
-        if words:
-            out.append(fold("\n".join(words)).split("\n"))
-        elif any(c.isalpha() for c in s):
-            out.append([])
-    return out
+def body(text: str) -> str:
+    """The text in lower case without short quoted phrases and bracketed asides; an aside of its own is a sentence without words."""
+    if '"' in text:
+        text = _QUOTED.sub(" ", text).replace('"', " ")
+    if "(" in text:
+        text = _ASIDE.sub(lambda m: " xx. " if m[1].rstrip()[-1:] in (".", "!", "?") else " ", text)
+    return text.lower()
+
+
+class Codes(dict):
+    """Tokens as written to the codes of their folded words of three letters or more, of ``index`` or, if it is to ``grow``, added to it."""
+
+    def __init__(self, index: dict[str, int], grow: bool = False) -> None:
+        super().__init__()
+        self.index, self.grow = index, grow
+
+    def __missing__(self, token: str) -> int:
+        if token[0] in ".!?\n":
+            code = _END
+        elif len(token) < 3 or token.isdecimal():
+            code = _OTHER if any(c.isalpha() for c in token) else _NUMBER
+        else:
+            word = fold(token)
+            code = self.index.setdefault(word, len(self.index)) if self.grow else self.index.get(word, _OTHER)
+        if len(self) > _CELLS:
+            self.clear()
+        self[token] = code
+        return code
+
+    def of(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of all texts' tokens, each text with an end after it, and the text that each is in."""
+        codes: list[int] = []
+        sizes = []
+        for t in texts:
+            mine = [self[x] for x in _TOKEN.findall(body(t))]
+            mine.append(_END)
+            codes += mine
+            sizes.append(len(mine))
+        return np.array(codes, np.int64), np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _distinct(text: np.ndarray, code: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, word) with their numbers, of the codes that are words."""
+    at, n = np.unique(text[code >= 0] * words + code[code >= 0], return_counts=True)
+    return at // words, at % words, n
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -72,20 +104,22 @@ def word_counts(documents: DataFrame) -> DataFrame:
     """``(lang, t, docs, words)``: in how many documents of a language a word is and how often; ``t`` is '' for the documents themselves."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], np.ndarray] = {}
 
         def rows() -> pd.DataFrame:
-            out = [(lang, t, n, words[t]) for lang, (docs, words) in held.items() for t, n in docs.items()]
+            out = pd.DataFrame([(*k, *n) for k, n in held.items()], columns=["lang", "t", "docs", "words"])
             held.clear()
-            return pd.DataFrame(out, columns=["lang", "t", "docs", "words"])
+            return out
 
         for b in batches:
-            for text, lang in zip(b["text"], b["lang"]):
-                docs, words = held.setdefault(lang, (Counter(), Counter()))
-                mine = [w for s in sentences(text) for w in s]
-                words.update(mine)
-                docs.update({"", *mine})
-            if sum(len(docs) for docs, _ in held.values()) > _CELLS:
+            for lang, texts in b.groupby("lang")["text"]:
+                codes = Codes({}, grow=True)
+                code, text = codes.of(texts)
+                size = max(1, len(codes.index))
+                docs, words = np.bincount(_distinct(text, code, size)[1], minlength=size), np.bincount(code[code >= 0], minlength=size)
+                for t, n in [("", (len(texts), 0)), *zip(codes.index, zip(docs.tolist(), words.tolist()))]:
+                    held[lang, t] = held.get((lang, t), 0) + np.array(n)
+            if len(held) > _CELLS:
                 yield rows()
         yield rows()
 
@@ -120,22 +154,23 @@ def word_pairs(documents: DataFrame, told: DataFrame, index: dict[str, int], sub
     rows = _texts(documents).join(F.broadcast(told), F.col("doc_id") == F.col("lid"), "left").select("text", "given")
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs, labels = _Cells(v), _Cells(subjects)
+        pairs, labels, codes = _Cells(v), _Cells(subjects), Codes(index)
         for b in batches:
             for begin in range(0, len(b), _BLOCK):
                 part = b.iloc[begin : begin + _BLOCK]
-                own = [np.unique([index[w] for s in sentences(t) for w in s if w in index]).astype(np.int64) for t in part["text"]]
+                code, text = codes.of(part["text"])
+                text, word, _ = _distinct(text, code, v)
                 has = np.zeros((len(part), v), np.float32)
-                has[np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, np.int64)])] = 1
+                has[text, word] = 1
                 for low in range(0, v, _BLOCK):
                     both = np.triu(has[:, low : low + _BLOCK].T @ has[:, low:], 1)
                     i, j = np.nonzero(both)
                     pairs.add(i + low, j + low, both[i, j])
-                for x, given in zip(own, part["given"]):
-                    if given is not None and len(x):
-                        weights = np.asarray(given, float)
-                        on = np.flatnonzero(weights)
-                        labels.add(np.repeat(x, len(on)), np.tile(on, len(x)), np.tile(weights[on], len(x)))
+                labelled = np.flatnonzero(part["given"].notna().to_numpy())
+                if len(labelled):
+                    sums = has[labelled].T @ np.stack(part["given"].iloc[labelled].to_numpy())
+                    i, j = np.nonzero(sums)
+                    labels.add(i, j, sums[i, j])
                 if len(pairs.at) > _CELLS:
                     yield pairs.frame(0)
         yield pairs.frame(0)
@@ -217,36 +252,39 @@ class Topics:
         return share, each / each.sum(1, keepdims=True)
 
 
-def sentence_shares(texts: list[str], model: Topics) -> list[dict[int, float]]:
+def sentence_shares(texts: Sequence[str], model: Topics, codes: Codes | None = None) -> list[dict[int, float]]:
     """For each text the share of its sentences on each subject; a sentence is on one subject or none.
 
     The topic proportions of the texts are inferred from all their words; with them those of each word
     in its text, and a sentence is on the subject whose topics have most of its words.
     """
     out: list[dict[int, float]] = [{} for _ in texts]
-    parsed = [[[model.index[w] for w in dict.fromkeys(s) if w in model.index] for s in sentences(t)] for t in texts]
-    filled = [d for d, p in enumerate(parsed) if any(p)]
-    while filled:
-        held, at, n, begin, place, begins, owner, words = [], [], [], [], [], [], [], 0
-        while filled and (not held or words < INFERENCE_WORDS):
-            d = filled.pop()
-            ids, where, count = np.unique(np.fromiter((w for s in parsed[d] for w in s), np.int64), return_inverse=True, return_counts=True)
-            begin.append(words)
-            at.append(ids)
-            n.append(count)
-            sizes = [len(s) for s in parsed[d] if s]
-            begins += (sum(map(len, place)) + np.cumsum([0, *sizes[:-1]])).tolist()
-            owner += [len(held)] * len(sizes)
-            place.append(where + words)
-            words += len(ids)
-            held.append(d)
-        _, each = model.proportions(np.concatenate(at), np.concatenate(n).astype(np.float32), np.array(begin))
-        score = np.add.reduceat((each @ model.subjects)[np.concatenate(place)], begins, axis=0)
-        best = score.argmax(1)
-        for o, s, x in zip(owner, best.tolist(), score.max(1).tolist()):
-            if x >= SENTENCE_WORDS:
-                mine = out[held[o]]
-                mine[s] = mine.get(s, 0.0) + 1 / len(parsed[held[o]])
+    v = len(model.index)
+    code, text = (codes or Codes(model.index)).of(texts)
+    place = np.cumsum(code == _END) - (code == _END)  # the sentence of each token
+    of_text = text[code == _END]
+    sizes = np.bincount(of_text[np.unique(place[(code >= 0) | (code == _OTHER)])], minlength=len(out))
+    place, word, _ = _distinct(place, code, v)  # a word counts once a sentence
+    if not len(word):
+        return out
+    at, back, n = np.unique(of_text[place] * v + word, return_inverse=True, return_counts=True)
+    owner = at // v
+    begin = np.flatnonzero(np.diff(owner, prepend=-1))
+    weights = np.zeros((len(at), model.subjects.shape[1]), np.float32)
+    low = 0
+    while low < len(begin):  # some texts at a time, so that memory doesn't follow the batch
+        high = max(low + 1, int(np.searchsorted(begin, begin[low] + INFERENCE_WORDS, side="right")) - 1)
+        first, last = begin[low], begin[high] if high < len(begin) else len(at)
+        _, each = model.proportions(at[first:last] % v, n[first:last].astype(np.float32), begin[low:high] - first)
+        weights[first:last] = each @ model.subjects
+        low = high
+    starts = np.flatnonzero(np.diff(place, prepend=-1))
+    score = np.add.reduceat(weights[back], starts, axis=0)
+    told = score.max(1) >= SENTENCE_WORDS
+    subjects = score.shape[1]
+    pairs, times = np.unique(of_text[place[starts]][told] * subjects + score.argmax(1)[told], return_counts=True)
+    for d, s, x in zip((pairs // subjects).tolist(), (pairs % subjects).tolist(), times.tolist()):
+        out[d][s] = x / sizes[d]
     return out
 
 
@@ -299,8 +337,8 @@ def fitted_topics(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     total = np.nan_to_num(total)
     for s, text in described.items():  # each description counts as one labelled document
         total[at[s]] += 1
-        for w in {fold(w) for w in _WORD.findall(text.lower())} & index.keys():
-            labelled[index[w], at[s]] += 1
+        code, text = Codes(index).of([text])
+        labelled[_distinct(text, code, len(index))[1], at[s]] += 1
     names = named_topics(topic_words, everywhere, labelled / total * total.mean())
     on = np.zeros((TOPICS + 1, len(subjects)), np.float32)
     on[np.flatnonzero(names >= 0), names[names >= 0]] = 1
@@ -320,9 +358,12 @@ def subject_shares(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = Codes(topics.index)
         for b in batches:
-            found = sentence_shares(list(b["text"]), topics)
-            rows = [(d, subjects[s], x) for d, shares in zip(b["doc_id"], found) for s, x in sorted(shares.items())]
+            rows = []
+            for begin in range(0, len(b), _BLOCK):
+                part = b.iloc[begin : begin + _BLOCK]
+                rows += [(d, subjects[s], x) for d, shares in zip(part["doc_id"], sentence_shares(part["text"], topics, codes)) for s, x in shares.items()]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
 
     return _texts(documents).select("doc_id", "text").mapInPandas(score, "doc_id bigint, subject string, share double")
