@@ -56,6 +56,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_cut(df: DataFrame) -> None:
+    """Delete the files of a ``cut`` that nothing reads any more; other frames are left alone."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD" or not plan.rdd().getCheckpointFile().isDefined():
+        return
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(plan.rdd().getCheckpointFile().get())
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     """Whether ``df`` has at most ``rows`` rows; at most one row more is looked at."""
     return df.limit(rows + 1).count() <= rows
