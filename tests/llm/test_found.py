@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from tests.conftest import rows
 from twinlake.llm import names as N
 from twinlake.llm.groups import connected_groups, consolidated
-from twinlake.llm.setjoin import similar_projects, similar_sets
+from twinlake.llm.setjoin import cells_of, similar_projects, similar_sets
 from twinlake.llm.survivors import best_members
 
 
@@ -75,6 +75,21 @@ def test_similar_sets_against_all_pairs(spark, seed, threshold):
     assert all(abs(v - len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 1e-9 for (a, b), v in got.items())
 
 
+def test_cells_hold_near_sets_and_every_set_once(spark):
+    rng = random.Random(9)
+    sets = {}
+    for c in range(12):
+        base = [f"c{c}_{i}" for i in range(30)] + ["everywhere"]
+        for j in range(8):
+            sets[f"{c:02}_{j}"] = sorted(x for x in base if rng.random() < 0.9)
+    sets |= {"lone": ["x1", "x2"], "other": ["x3", "everywhere"]}
+    cells = cells_of(spark.createDataFrame(list(sets.items()), "id string, items array<string>"), 0.6).collect()
+    assert sum(r["hosts"] for r in cells) == len(sets) - 1 and max(r["radius"] for r in cells) <= 0.4 + 1e-9
+    assert len(cells) <= 40 and sum(r["hosts"] > 1 for r in cells) >= 12
+    with pytest.raises(ValueError):
+        similar_sets(spark.createDataFrame([], "id string, items array<string>"), 0.3)
+
+
 def test_similar_projects(spark):
     data = [
         ("a", {"x": "AA", "y": "bb", "z": None}, 1, "id"), ("b", {"q": "aa", "r": "BB", "s": "bb"}, 1, "id"), ("c", {"q": "aa", "r": "cc", "s": "bb"}, 1, "id"), ("d", {}, 1, "id"), ("e", {}, 1, "id"), ("f", {"x": None}, 1, "id"), ("g", None, 1, "id"),
