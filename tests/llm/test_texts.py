@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from twinlake.llm import subjects as S
-from twinlake.llm.mixing import blocks_of, mixture, permuted
-from twinlake.llm.packing import packed, plan
+from twinlake.llm.mixing import blocks_of, mixture, mixture_held, permuted
+from twinlake.llm.packing import packed, packing_held, plan
 from twinlake.llm.tokens import _encoding, sized_documents, vocabulary_path
 
 
@@ -107,6 +107,31 @@ def test_mixture_shares_and_repeats(spark):
     assert empty.count() == 0 and [r["tokens_selected"] for r in none.collect()] == [0] * 4
 
 
+def test_broken_packings_and_mixtures_are_told(spark):
+    schema = "doc_id bigint, piece_no int, piece_start bigint, piece_tokens int, container_id bigint, container_start int"
+    places = spark.createDataFrame([(1, 0, 0, 4, 0, 0), (1, 1, 8, 2, 1, 0), (2, 0, 0, 6, 1, 1), (3, 0, 0, 3, 2, 6), (4, 0, 0, 2, 3, 0), (4, 1, 8, 2, 3, 2), (5, 0, 0, 0, None, None)], schema)
+    docs = spark.createDataFrame([(1, 6), (2, 6), (3, 3), (4, 4), (5, 0), (6, 1)], "doc_id bigint, n_tokens bigint")
+    got = {r["doc_id"]: (r["whole"], r["inside"], r["split_only_if_long"]) for r in packing_held(places, docs, 8).collect()}
+    assert got == {1: (True, True, False), 2: (True, False, True), 3: (True, False, True), 4: (True, True, False), 5: (True, True, True), 6: (False, False, False)}
+    docs = spark.createDataFrame([("a", i, 10) for i in range(40)] + [("b", 100, 10)], "source string, doc_id bigint, n_tokens bigint")
+    goal = spark.createDataFrame([("a", 0.6, 2), ("b", 0.4, 3)], "source string, target_share double, max_repeats int")
+    selection, shares = mixture(docs, goal, block_tokens=8, shard_slots=16)
+    held = lambda s: {r["source"]: (r["repeats_kept"], r["blocks_once"], r["share_kept"]) for r in mixture_held(s, shares, docs, 8).collect()}
+    assert held(selection) == {"a": (True,) * 3, "b": (True,) * 3}
+    twice = held(selection.unionByName(selection).unionByName(selection))
+    assert not twice["a"][0] and not twice["b"][0]
+    moved = held(selection.unionByName(selection.filter("source = 'a'").withColumn("slot_no", F.col("slot_no") + 1000)))
+    assert not moved["a"][1] and moved["b"][1]
+
+
+def test_counts_are_drawn_from_the_multinomial(spark):
+    docs = spark.createDataFrame([("a", i, 64) for i in range(400)] + [("b", 1000 + i, 64) for i in range(400)], "source string, doc_id bigint, n_tokens bigint")
+    goal = spark.createDataFrame([("a", 0.5, 4), ("b", 0.5, 4)], "source string, target_share double, max_repeats int")
+    per_shard = lambda **k: [r["n"] for r in mixture(docs, goal, block_tokens=64, shard_slots=100, **k)[0].filter("source = 'a'").groupBy("shard_id").agg(F.countDistinct("slot_no").alias("n")).collect()]
+    drawn, even = per_shard(), per_shard(whole_shares_first=True)
+    assert set(even) == {50} and len(set(drawn)) > 2 and all(25 < n < 75 for n in drawn)
+
+
 def test_token_counts(spark):
     texts = [(1, "hello world", "a"), (2, "", "a"), (3, None, "a"), (4, "Größe und Maß " * 3000, "a"), (5, "<|endoftext|>", "a"), (None, "x", "a")]
     got = dict(rows(sized_documents(spark.createDataFrame(texts, "doc_id bigint, text string, n_tokens string").drop("n_tokens"))))

@@ -59,7 +59,7 @@ def blocks_of(df: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def mixture(
-    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED
+    docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, shard_slots: int = SHARD_SLOTS, seed: int = SEED, whole_shares_first: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """The selection and the shares it reaches.
 
@@ -69,9 +69,9 @@ def mixture(
 
     Tokens are packed into blocks per source. The plan has ``total_tokens`` (by default as many as
     the documents of the targeted sources hold) in output shards of ``shard_slots`` blocks. In each
-    shard a source gets the whole part of its share of slots, and the rest are drawn from a
-    multinomial over what is left of the shares, with a generator seeded by shard, so any shard can
-    be made again alone. A source's slots are numbered over all shards by exact offsets; slot
+    shard the sources' counts of slots are one multinomial draw over the shares, with a generator seeded by
+    shard, so any shard can be made again alone; with ``whole_shares_first`` the whole part of each
+    share is given outright and only the rest drawn, which narrows the spread. A source's slots are numbered over all shards by exact offsets; slot
     j takes block perm(j mod blocks) of repeat j / blocks, each repeat under its own permutation.
 
     Slots beyond ``max_repeats`` stay empty: a source that is too small falls short rather than
@@ -102,10 +102,11 @@ def mixture(
             rows = []
             for shard in b["shard_id"]:
                 n = min(shard_slots, slots - shard * shard_slots)
-                sure = np.floor(p * n + 1e-9).astype(np.int64)
+                rng = np.random.default_rng([seed, int(shard)])
+                sure = np.floor(p * n + 1e-9).astype(np.int64) if whole_shares_first else np.zeros(sources, np.int64)
                 rest = np.maximum(p * n - sure, 0)
                 if (m := n - int(sure.sum())) > 0:
-                    sure += np.random.default_rng([seed, int(shard)]).multinomial(m, rest / rest.sum() if rest.sum() > 0 else p)
+                    sure += rng.multinomial(m, rest / rest.sum() if rest.sum() > 0 else p)
                 begin = np.cumsum(sure) - sure
                 rows += [(int(shard), k, int(sure[k]), int(begin[k])) for k in range(sources) if sure[k]]
             yield pd.DataFrame(rows, columns=["shard_id", "k", "slots", "slot_begin"])
@@ -116,24 +117,25 @@ def mixture(
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for k, rows in b.groupby("k"):
+            # One shard at a time: what is expanded at once is bounded by its slots.
+            for k, shard, count, slot, first in b[["k", "shard_id", "slots", "slot_begin", "first"]].itertuples(index=False):
                 n = int(blocks[k])
-                if not n or rows.empty:
+                if not n:
                     continue
-                count = rows["slots"].to_numpy()
-                inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                j = np.repeat(rows["first"].to_numpy(), count) + inner
-                out = pd.DataFrame({"shard_id": np.repeat(rows["shard_id"].to_numpy(), count), "slot_no": np.repeat(rows["slot_begin"].to_numpy(), count) + inner, "repeat_no": j // n, "block_no": 0})
-                j, out = (j % n)[j // n < repeats[k]], out[(j // n) < repeats[k]].copy()
-                for r in out["repeat_no"].unique():
-                    mine = (out["repeat_no"] == r).to_numpy()
-                    out.loc[mine, "block_no"] = permuted(j[mine], n, seed * 1_000_003 + int(k) * 1009 + int(r))
-                yield out.assign(source=names[k])[["shard_id", "slot_no", "source", "repeat_no", "block_no"]]
+                inner = np.arange(count)
+                inner = inner[(first + inner) // n < repeats[k]]
+                repeat, block = np.divmod(first + inner, n)
+                for r in np.unique(repeat):
+                    mine = repeat == r
+                    block[mine] = permuted(block[mine], n, seed * 1_000_003 + int(k) * 1009 + int(r))
+                if len(inner):
+                    yield pd.DataFrame({"shard_id": shard, "slot_no": slot + inner, "source": names[k], "repeat_no": repeat, "block_no": block})
 
     chosen = numbered.mapInPandas(fill, "shard_id bigint, slot_no bigint, source string, repeat_no bigint, block_no bigint")
     content = blocks_of(sized, block_tokens).select(F.col("source").alias("s"), F.col("block_no").alias("b"), "doc_id", "doc_start", "n_tokens")
     selection = chosen.join(content, (F.col("source") == F.col("s")) & (F.col("block_no") == F.col("b"))).drop("s", "b")
 
+    selection = selection.select("shard_id", "slot_no", "source", "repeat_no", "block_no", "doc_id", "doc_start", "n_tokens")
     got = selection.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.max("repeat_no").alias("r"))
     asked = spark.createDataFrame([(n, float(w), int(r), int(held.get(n, 0))) for n, w, r in zip(names, weight, repeats)], "name string, target_share double, max_repeats bigint, tokens_held bigint")
     shares = asked.join(got, F.col("name") == F.col("source"), "left").select(
@@ -141,3 +143,23 @@ def mixture(
         (F.coalesce("t", F.lit(0)) / F.lit(float(max(1, slots * block_tokens)))).alias("share_of_plan"), F.coalesce(F.col("t") / F.sum("t").over(Window.partitionBy(F.lit(0))), F.lit(0.0)).alias("share_reached"),
     )
     return selection, shares
+
+
+def mixture_held(selection: DataFrame, shares: DataFrame, docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """Per target whether the selection keeps its promises: ``(source, target_share, max_repeats, repeats_kept, blocks_once, share_kept)``.
+
+    No part of a document is used more than ``max_repeats`` times; no block comes twice in a repeat and no
+    slot holds two blocks; the share of the plan is within four standard deviations of its draw, or all
+    repeats of the source are used up.
+    """
+    parts = selection.groupBy("source", "doc_id", "doc_start").agg(F.count("*").alias("n")).groupBy("source").agg(F.max("n").alias("uses")).withColumnRenamed("source", "us")
+    slots = selection.select("source", "shard_id", "slot_no", "repeat_no", "block_no").distinct()
+    once = slots.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("shard_id", "slot_no").alias("s"), F.countDistinct("repeat_no", "block_no").alias("b")).select(F.col("source").alias("os"), ((F.col("n") == F.col("s")) & (F.col("n") == F.col("b"))).alias("once"))
+    known = shares.select(F.col("source").alias("known"))
+    planned = docs.join(F.broadcast(known), F.col("source") == F.col("known"), "left_semi").filter("n_tokens > 0").agg(F.sum("n_tokens")).first()[0]
+    planned = max(1.0, (planned or 0) / block_tokens)
+    p = F.col("target_share")
+    off = F.abs(F.col("share_of_plan") - p) <= 4 * F.sqrt(p * (1 - p) / planned) + 2 / planned
+    rows = shares.join(parts, F.col("source") == F.col("us"), "left").join(once, F.col("source") == F.col("os"), "left")
+    spent = F.col("tokens_selected") == F.col("tokens_held") * F.col("max_repeats")
+    return rows.select("source", "target_share", "max_repeats", (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), F.coalesce("once", F.lit(True)).alias("blocks_once"), (off | spent).alias("share_kept"))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.operators.heavykeys import running_offsets
@@ -134,3 +134,19 @@ def fill_report(places: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return full.groupBy("container_id").agg(F.count("*").alias("p"), F.sum("piece_tokens").alias("t")).agg(
         F.sum("p").alias("pieces"), F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"), (F.sum("t") / (F.count("*") * capacity)).alias("share_used")
     )
+
+
+def packing_held(places: DataFrame, docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Per document ``(doc_id, whole, inside, split_only_if_long)``: whether the packing keeps its promises.
+
+    Its pieces follow each other and are all its tokens; none reaches over the container's end or into another
+    piece; more than one piece only above the capacity. ``docs (doc_id, n_tokens)`` has each id once.
+    """
+    by_place, by_piece = Window.partitionBy("container_id").orderBy("container_start"), F.col("container_start") + F.col("piece_tokens")
+    free = F.coalesce(F.lag(by_piece).over(by_place), F.lit(0)) <= F.col("container_start")
+    filled = places.filter("container_id IS NOT NULL").withColumn("fits", free & (by_piece <= capacity))
+    every = filled.unionByName(places.filter("container_id IS NULL").withColumn("fits", F.lit(True)))
+    pieces = every.groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("pieces"), F.sum("piece_tokens").alias("tokens"), F.sum(F.when(F.col("piece_start") == F.col("piece_no") * capacity, 0).otherwise(1)).alias("astray"), F.min("fits").alias("fits"))
+    rows = docs.join(pieces, F.col("doc_id") == F.col("of"), "left")
+    whole = (F.col("tokens") == F.col("n_tokens")) & (F.col("astray") == 0)
+    return rows.select("doc_id", F.coalesce(whole, F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("inside"), F.coalesce((F.col("pieces") == 1) | (F.col("n_tokens") > capacity), F.lit(False)).alias("split_only_if_long"))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.llm.groups import consolidated
-from twinlake.llm.mixing import mixture
+from twinlake.llm.mixing import mixture, mixture_held
 from twinlake.llm.names import same_performers_and_albums
-from twinlake.llm.packing import fill_report, packed
+from twinlake.llm.packing import fill_report, packed, packing_held
 from twinlake.llm.setjoin import similar_projects
 from twinlake.llm.subjects import composition, subjects_of
 from twinlake.llm.survivors import best_members
 from twinlake.llm.tokens import sized_documents
-from twinlake.session import table
+from twinlake.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,15 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p8_packed(spark, sf_dir))
 
 
+def p8_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per text whether ``p8_packed`` places it whole, inside its container and in one piece if it fits."""
+    docs = cut(sized_documents(table(spark, sf_dir, "documents")))
+    return packing_held(packed(docs), docs)
+
+
+P8_HELD_SQL = "SELECT doc_id, true AS whole, true AS inside, true AS split_only_if_long FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL"
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixture(sized_documents(table(spark, sf_dir, "documents"), "source"), table(spark, sf_dir, "mix_targets"))
 
@@ -89,6 +98,15 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target whether ``p9_mixed`` keeps repeats, blocks and share."""
+    docs = cut(sized_documents(table(spark, sf_dir, "documents"), "source"))
+    return mixture_held(*mixture(docs, table(spark, sf_dir, "mix_targets")), docs)
+
+
+P9_HELD_SQL = "SELECT source, target_share, max_repeats, true AS repeats_kept, true AS blocks_once, true AS share_kept FROM mix_targets WHERE source IS NOT NULL AND target_share > 0"
+
+
 def _subject_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")]
 
@@ -110,9 +128,11 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_packed": p8_packed,
     "p8_fill": p8_fill,
+    "p8_held": p8_held,
     "p9_mixed": p9_mixed,
     "p9_shares": p9_shares,
+    "p9_held": p9_held,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
-ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL}
+ORACLES = {"p2_found": P2_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p8_held": P8_HELD_SQL, "p9_held": P9_HELD_SQL}

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 #: File of ranks used where none is named; looked up beside the installed ``public_tokenizers``.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_LONGEST = 1 << 16
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
