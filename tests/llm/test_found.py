@@ -1,6 +1,7 @@
 """Consolidation, names, survivors and similar sets against plain Python."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -129,7 +130,49 @@ def test_one_edit(a, b):
     edits = {a[:i] + a[i + 1 :] for i in range(len(a))} | {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "abcd"} | {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "abcd"}
     edits |= {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
     assert N.one_edit(a, b) is (b in edits and a != b)
-    assert not N.one_edit(a, b) or len(a) < N.TYPO_LENGTH or len(b) < N.TYPO_LENGTH or set(N._deletions(a)) & set(N._deletions(b))
+    near = {x: i for i, x in enumerate([a])}
+    for depth in (1, 2):
+        for x in list(near):
+            for y in [x[:i] + x[i + 1 :] for i in range(len(x))] + [x[:i] + c + x[i:] for i in range(len(x) + 1) for c in "abcd"] + [x[:i] + c + x[i + 1 :] for i in range(len(x)) for c in "abcd"]:
+                near.setdefault(y, depth)
+    assert N.two_edits(a, b) is (b in near)
+
+
+def test_index_finds_all_near_tokens(spark):
+    """Tokens with up to two edits of all kinds, against all pairs."""
+    rng = random.Random(3)
+    tokens = set()
+    for n in [3, 4, 5, 6, 9, 11, 12, 14] * 4:
+        t = "".join(rng.choice("abcdefgh") for _ in range(n))
+        tokens.add(t)
+        for _ in range(4):
+            u = list(t)
+            for _ in range(rng.randrange(1, 3)):
+                i = rng.randrange(len(u))
+                how = rng.randrange(4)
+                u[i : i + 1] = [[], [rng.choice("abcdefgh")], [u[i], rng.choice("abcdefgh")], [u[i]]][how]
+                if how == 3 and i + 1 < len(u):
+                    u[i], u[i + 1] = u[i + 1], u[i]
+            tokens.add("".join(u))
+    tokens = sorted(t for t in tokens if t)
+    df = spark.createDataFrame([("artist", t, 1) for t in tokens] + [("album", tokens[0] + "x", 1), ("artist", "#12345", 1), ("artist", "#12346", 1)], "kind string, t string, names int")
+    got = {tuple(sorted((r["rare"], r["often"]))) for r in N._near_tokens(df).collect()}
+    want = {(x, y) for x, y in itertools.combinations(tokens, 2) if N.token_cost(x, y, False) in (N.TYPO, N.TWO_TYPOS)}
+    assert got == want and any(min(map(len, p)) >= 10 and not N.one_edit(*p) for p in want)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_candidates_against_all_pairs_of_names(spark):
+    """Recall of the candidate search over all names of the small table; what it misses must not part an entity."""
+    table = spark.read.parquet("/root/testdata/sf0.01/signal_sets.parquet")
+    names = {("artist", r[i]) for r in table.select("id3_artist", "id3_albumartist").collect() for i in (0, 1)} | {("album", r[0]) for r in table.select("id3_album").collect()}
+    classes = sorted({(k, tuple(sorted(t))) for k, n in names if n is not None and (t := N.tokens(n, k))})
+    df = spark.createDataFrame([(i.to_bytes(4, "big"), k, list(t)) for i, (k, t) in enumerate(classes)], "id binary, kind string, tokens array<string>")
+    got = {tuple(sorted((int.from_bytes(r["id"], "big"), int.from_bytes(r["oid"], "big")))) for r in N.aligned_pairs(df).select("id", "oid").collect()}
+    want = {(i, j) for (i, (k, a)), (j, (m, b)) in itertools.combinations(enumerate(classes), 2) if k == m and (N.align(list(a), list(b), k == "artist") or N.align(list(b), list(a), k == "artist"))}
+    assert got <= want and len(got) >= 0.95 * len(want)
+    whole, found = _components(want), _components(got)
+    assert sum(found.get(i, i) != c for i, c in whole.items()) <= 0.02 * len(whole)
 
 
 @settings(max_examples=100, deadline=None)

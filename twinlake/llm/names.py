@@ -44,8 +44,10 @@ NICKNAMES = {
 }
 #: Length from which an edit is taken for a typo; one of the two tokens may be a letter shorter.
 TYPO_LENGTH = 5
-#: Cost of aligning two tokens, and most that a pair of names may cost per pair of tokens.
-NICKNAME, TYPO, ABBREVIATION, INITIAL, SPARE_INITIAL = 0.2, 0.3, 0.4, 0.6, 0.5
+#: Length of both tokens from which two edits are.
+TWO_TYPOS_LENGTH = 12
+#: Cost of aligning two tokens.
+NICKNAME, TYPO, TWO_TYPOS, ABBREVIATION, INITIAL, SPARE_INITIAL = 0.2, 0.3, 0.35, 0.4, 0.6, 0.5
 _NEVER = 99.0
 
 
@@ -110,6 +112,21 @@ def one_edit(a: str, b: str) -> bool:
     return short[i:] == long[i + 1 :]
 
 
+@lru_cache(maxsize=1 << 16)
+def two_edits(a: str, b: str) -> bool:
+    """Whether at most two insertions, deletions or substitutions make ``b`` of ``a``."""
+    if abs(len(a) - len(b)) > 2:
+        return False
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        if min(row) > 2:
+            return False
+    return row[-1] <= 2
+
+
 @lru_cache(maxsize=1 << 16)
 def token_cost(a: str, b: str, people: bool) -> float:
     """What it costs to take ``a`` and ``b`` for the same word; numbers are never alike."""
@@ -125,6 +142,8 @@ def token_cost(a: str, b: str, people: bool) -> float:
             return INITIAL
     if min(len(a), len(b)) >= TYPO_LENGTH - 1 and max(len(a), len(b)) >= TYPO_LENGTH and one_edit(a, b):
         return TYPO
+    if min(len(a), len(b)) >= TWO_TYPOS_LENGTH and two_edits(a, b):
+        return TWO_TYPOS
     short, long = sorted((a, b), key=len)
     if short[0] != long[0]:
         return _NEVER
@@ -209,30 +228,30 @@ def agree(readings: list[list[str]], people: bool) -> bool:
     return all(known(w) for r in readings for w in r)
 
 
-def _deletions(t: str) -> list[str]:
-    return [t, *{t[:i] + t[i + 1 :] for i in range(len(t))}] if len(t) >= TYPO_LENGTH - 1 and t[0] != "#" else []
+def _deletions(t: Column) -> Column:
+    """The token and what is left of it without a letter, from ``TWO_TYPOS_LENGTH`` letters also without two."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = without(t)
+    return F.array_distinct(F.concat(F.array(t), one, F.when(F.length(t) >= TWO_TYPOS_LENGTH, F.flatten(F.transform(one, without))).otherwise(F.array().cast("array<string>"))))
+
+
+def _close(x: Column, y: Column) -> Column:
+    """Whether the tokens are one edit apart (a swap of neighbours is one), or long and two."""
+    swapped = F.exists(F.sequence(F.lit(1), F.greatest(F.length(x) - 1, F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1)), F.substring(x, i, F.lit(1)), F.substring(x, i + 2, F.length(x))) == y)
+    one = (F.greatest(F.length(x), F.length(y)) >= TYPO_LENGTH) & ((F.levenshtein(x, y, 1) >= 0) | ((F.length(x) == F.length(y)) & swapped))
+    return one | ((F.least(F.length(x), F.length(y)) >= TWO_TYPOS_LENGTH) & (F.levenshtein(x, y, 2) >= 0))
 
 
 def _near_tokens(words: DataFrame) -> DataFrame:
-    """``(kind, rare, often)``: tokens one edit apart, by an index of their single deletions.
+    """``(kind, rare, often)``: tokens one edit apart, long ones two, by an index of their deletions.
 
-    Tokens one edit apart share a deletion, so an equi-join on deletions finds all of them.
+    Tokens that near share a deletion, so an equi-join on deletions finds all of them.
     ``often`` is the token in more names, at equal number the smaller one.
     """
-
-    @F.udf("array<string>", useArrow=True)
-    def deletions(t: str) -> list[str]:
-        return _deletions(t)
-
-    index = words.filter(F.length("t") >= TYPO_LENGTH - 1).select("kind", "t", "names", F.explode(deletions("t")).alias("d"))
+    index = words.filter((F.length("t") >= TYPO_LENGTH - 1) & ~F.col("t").startswith("#")).select("kind", "t", "names", F.explode(_deletions(F.col("t"))).alias("d"))
     a, b = [index.select(F.col("kind").alias(f"{s}k"), F.col("t").alias(f"{s}t"), F.col("names").alias(f"{s}n"), F.col("d").alias(f"{s}d")) for s in "ab"]
     near = a.join(b, (F.col("ak") == F.col("bk")) & (F.col("ad") == F.col("bd")) & ((F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("at") > F.col("bt")))))
-
-    @F.udf("boolean", useArrow=True)
-    def close(x: str, y: str) -> bool:
-        return max(len(x), len(y)) >= TYPO_LENGTH and one_edit(x, y)
-
-    return near.select(F.col("ak").alias("kind"), F.col("at").alias("rare"), F.col("bt").alias("often")).distinct().filter(close("rare", "often"))
+    return near.select(F.col("ak").alias("kind"), F.col("at").alias("rare"), F.col("bt").alias("often")).distinct().filter(_close(F.col("rare"), F.col("often")))
 
 
 def same_names(names: DataFrame) -> DataFrame:
@@ -262,6 +281,25 @@ def same_names(names: DataFrame) -> DataFrame:
     spelled = distinct.mapInPandas(read, "kind string, name string, tokens array<string>")
     spelled = cut(spelled.select("kind", "name", F.array_sort("tokens").alias("tokens")).withColumn("id", node_id("c", F.concat_ws("\t", "kind", F.array_join("tokens", " ")))))
     classes = spelled.groupBy("id").agg(F.first("kind").alias("kind"), F.first("tokens").alias("tokens"))
+    links = cut(aligned_pairs(classes))
+
+    def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[not agree([list(r) for r in readings], kind == "artist") for kind, readings in zip(b["kind"], b["readings"])]][["id"]]
+
+    judged = links.withColumn("m", F.when(F.size("means") > 0, F.array_sort("means"))).select("kind", "id", "oid", "m")
+    readings = judged.filter("m IS NOT NULL").groupBy("id").agg(F.first("kind").alias("kind"), F.collect_set("m").alias("readings"))
+    doubt = cut(readings.filter(F.size("readings") > 1).mapInPandas(doubtful, "id binary").select(F.col("id").alias("did")))
+    sure = judged.join(doubt, F.col("id") == F.col("did"), "left").filter(F.col("did").isNull() | F.col("m").isNull())
+    sure = sure.join(doubt.select(F.col("did").alias("xid")), F.col("oid") == F.col("xid"), "left").filter("xid IS NULL OR did IS NOT NULL")
+    groups = connected_groups(sure.select("id", "oid").unionByName(classes.select("id", F.col("id").alias("oid"))), "id", "oid")
+    named = cut(spelled.join(groups, F.col("id") == F.col("node")).select("kind", "name", "group"))
+    other = named.select(F.col("name").alias("b"), F.col("group").alias("bg"))
+    return named.join(other, (F.col("group") == F.col("bg")) & (F.col("name") < F.col("b"))).select("kind", F.col("name").alias("a"), "b")
+
+
+def aligned_pairs(classes: DataFrame) -> DataFrame:
+    """``(kind, id, oid, cost, means)``: pairs of ``classes (id, kind, tokens)`` that align, found by steps 2 to 4 of ``same_names``."""
     words = classes.select("id", "kind", F.explode(F.array_distinct("tokens")).alias("t"))
     counted = words.groupBy("kind", "t").agg(F.count("*").alias("names"))
     near = cut(_near_tokens(counted))
@@ -300,20 +338,7 @@ def same_names(names: DataFrame) -> DataFrame:
                     rows.append((kind, i, j, found[0], found[1]))
             yield pd.DataFrame(rows, columns=["kind", "id", "oid", "cost", "means"])
 
-    links = cut(pairs.mapInPandas(aligned, "kind string, id binary, oid binary, cost double, means array<string>"))
-    def doubtful(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[[not agree([list(r) for r in readings], kind == "artist") for kind, readings in zip(b["kind"], b["readings"])]][["id"]]
-
-    judged = links.withColumn("m", F.when(F.size("means") > 0, F.array_sort("means"))).select("kind", "id", "oid", "m")
-    readings = judged.filter("m IS NOT NULL").groupBy("id").agg(F.first("kind").alias("kind"), F.collect_set("m").alias("readings"))
-    doubt = cut(readings.filter(F.size("readings") > 1).mapInPandas(doubtful, "id binary").select(F.col("id").alias("did")))
-    sure = judged.join(doubt, F.col("id") == F.col("did"), "left").filter(F.col("did").isNull() | F.col("m").isNull())
-    sure = sure.join(doubt.select(F.col("did").alias("xid")), F.col("oid") == F.col("xid"), "left").filter("xid IS NULL OR did IS NOT NULL")
-    groups = connected_groups(sure.select("id", "oid").unionByName(classes.select("id", F.col("id").alias("oid"))), "id", "oid")
-    named = cut(spelled.join(groups, F.col("id") == F.col("node")).select("kind", "name", "group"))
-    other = named.select(F.col("name").alias("b"), F.col("group").alias("bg"))
-    return named.join(other, (F.col("group") == F.col("bg")) & (F.col("name") < F.col("b"))).select("kind", F.col("name").alias("a"), "b")
+    return pairs.mapInPandas(aligned, "kind string, id binary, oid binary, cost double, means array<string>")
 
 
 def same_performers_and_albums(df: DataFrame) -> DataFrame:
