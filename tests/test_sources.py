@@ -32,8 +32,12 @@ def test_drive_listing(spark, tmp_path):
 
 def test_deep_folders(spark):
     data = [(str(i), f"f{i}", str(i - 1) if i else None) for i in range(30)]
-    got = dict(rows(exports.folder_paths(spark.createDataFrame(data, "id string, name string, parent string"))))
-    assert got["29"] == "/".join(f"f{i}" for i in range(30)) and got["0"] == "f0"
+    df = spark.createDataFrame([*data, ("x", "x", "y"), ("y", "y", "x"), ("z", None, "0")], "id string, name string, parent string")
+    got = {r["id"]: (r["folder_path"], r["is_cut"]) for r in exports.folder_paths(df).collect()}
+    assert got["29"] == ("/".join(f"f{i}" for i in range(30)), False) and got["0"] == ("f0", False) and got["x"][1] and got["x"][0].count("/") == exports.PARENT_HOPS - 1
+    for hops in (1, 5, 29, 30):
+        short = {r["id"]: (r["folder_path"], r["is_cut"]) for r in exports.folder_paths(df, hops).collect()}
+        assert short["29"] == ("/".join(f"f{i}" for i in range(30 - hops, 30)), hops < 30)
 
 
 def test_onedrive_and_photo_listings(spark, tmp_path):
@@ -62,11 +66,29 @@ def test_report_round_trip(spark, tmp_path):
     assert "A &amp; B" in page and "&lt;x&gt;" in page
 
 
+def test_documents_are_replaced_whole(spark, tmp_path):
+    p = str(tmp_path / "doc")
+    for i in range(4):
+        before = documents.read_json(spark, p, "n int") if i else None
+        documents.write_json(spark.range(i, i + 2).selectExpr("cast(id AS int) AS n"), p)
+        assert rows(documents.read_json(spark, p, "n int")) == [(i,), (i + 1,)]
+        assert before is None or rows(before) == [(i - 1,), (i,)]
+    with pytest.raises(ValueError):
+        documents.summary_html("t", spark.range(documents.PAGE_ROWS + 1))
+
+
+def test_large_groups_are_written_in_parts(spark):
+    scored = scoring.scored_members(inv(spark, *[dict(path=f"/a/{i:03}") for i in range(25)], dict(path="/b/x", full_hash="z"), dict(path="/b/y", full_hash="z")))
+    got = documents.report_groups(scored, 10).select("full_hash", "part_no", F.size("members").alias("n"), "reclaim_bytes").collect()
+    assert sorted(r["n"] for r in got if r["full_hash"] != "z") == [5, 10, 10] and [r["n"] for r in got if r["full_hash"] == "z"] == [2]
+    assert len({r["reclaim_bytes"] for r in got if r["full_hash"] != "z"}) == 1
+
+
 def test_config(tmp_path):
     (tmp_path / "c.toml").write_text('top = 1\n[scan]\nmin = 2\n[scan.deep]\nx = "y"\n')
     assert documents.read_config(str(tmp_path / "c.toml")) == {"top": 1, "scan.min": 2, "scan.deep.x": "y"} and documents.read_config(str(tmp_path / "none")) == {}
-    (tmp_path / "w.json").write_text('{"depth": -1}')
-    assert documents.read_weights(str(tmp_path / "w.json"))["depth"] == -1.0 and documents.read_weights()["depth"] == -0.5
+    (tmp_path / "w.json").write_text('{"depth_penalty_per_level": -1}')
+    assert documents.read_weights(str(tmp_path / "w.json"))["depth_penalty_per_level"] == -1.0 and documents.read_weights()["depth_penalty_per_level"] == -0.5
     (tmp_path / "w.json").write_text('{"odd": -1}')
     with pytest.raises(ValueError):
         documents.read_weights(str(tmp_path / "w.json"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions import paths as P
 from twinlake.operators.components import components
+from twinlake.operators.scoring import WEIGHTS
 from twinlake.operators.similarity import jaccard_pairs
 from twinlake.operators.versions import latest
 
@@ -64,7 +67,7 @@ def project_groups(files: DataFrame, threshold: float = 0.9) -> DataFrame:
     return found.join(least, F.col("component") == F.col("c")).select("component", F.col("node").alias("root"), "similarity")
 
 
-def tree_keepers(groups: DataFrame) -> DataFrame:
+def tree_keepers(groups: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """Members of tree groups with ``is_keeper`` and ``reason``; ``groups`` may have a ``git_head`` time.
 
     With two heads or more in a group the newest wins, of equal ones the first path; else members
@@ -80,7 +83,7 @@ def tree_keepers(groups: DataFrame) -> DataFrame:
     pick = F.when(F.col("heads") >= 2, F.col("newest.root")).when(F.col("some_copied") & F.col("outside").isNotNull(), F.col("outside.root")).otherwise(F.col("least.root"))
     why = F.when(F.col("heads") >= 2, "newest git head").when(F.col("some_copied") & F.col("outside").isNotNull(), "outside copy folders").otherwise("shallowest path")
     out = rows.join(facts, F.col("component") == F.col("c"))
-    penalty = F.when(F.col("copied"), -5.0).otherwise(0.0) + F.when((F.col("heads") >= 2) & (F.col("git_head") < F.col("head")), -3.0).otherwise(0.0)
+    penalty = F.when(F.col("copied"), weights["is_project_tree_backup_copy"]).otherwise(0.0) + F.when((F.col("heads") >= 2) & (F.col("git_head") < F.col("head")), weights["git_head_older"]).otherwise(0.0)
     return out.select(*groups.columns, (F.col("root") == pick).alias("is_keeper"), why.alias("reason"), F.when(F.col("root") == pick, 0.0).otherwise(penalty).alias("score"))
 
 

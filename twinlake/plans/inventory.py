@@ -142,17 +142,17 @@ feat AS (SELECT full_hash AS g, max(mtime) AS newest, min(mtime) AS oldest, max(
 sig AS (SELECT i.full_hash, i.path, i.source_id, i.size, i.is_informational, {DEPTH} AS depth,
   CASE WHEN is_informational THEN [] ELSE [
     {{'name': 'cloud_when_local_exists', 'c': CASE WHEN source_id <> 'local' AND any_local THEN -3.0 END}},
-    {{'name': 'cloud_order', 'c': CASE WHEN source_id = 'local' THEN NULL WHEN source_id = 'gdrive:vault' THEN 1.0 WHEN source_id = 'onedrive:attic' THEN 0.0 ELSE -0.01 END}},
-    {{'name': 'path_marker', 'c': CASE WHEN {MARKER} THEN -8.0 END}},
-    {{'name': 'copy_name', 'c': CASE WHEN {COPYNAME} THEN -6.0 END}},
-    {{'name': 'active_home', 'c': CASE WHEN {_within_sql(HOMES[:1])} THEN 4.0 END}},
-    {{'name': 'inactive_home', 'c': CASE WHEN {HOMEISH} IS NOT NULL AND NOT ({_within_sql(HOMES[:1])}) THEN -4.0 END}},
-    {{'name': 'downloads', 'c': CASE WHEN {HOMEISH} = 'Downloads' THEN -2.0 END}},
-    {{'name': 'depth', 'c': -0.5 * {DEPTH}}},
-    {{'name': 'newest', 'c': CASE WHEN newest <> oldest AND mtime = newest THEN 3.0 END}},
-    {{'name': 'oldest', 'c': CASE WHEN newest <> oldest AND mtime = oldest THEN 1.0 END}},
-    {{'name': 'external', 'c': CASE WHEN starts_with(path, '/Volumes/') AND any_internal THEN -2.0 END}},
-    {{'name': 'larger', 'c': CASE WHEN smallest < largest AND size = largest THEN 2.0 END}}] END AS signals
+    {{'name': 'retained_cloud_order[' || CASE WHEN source_id IN ('gdrive:vault', 'onedrive:attic') THEN source_id ELSE 'unlisted' END || ']', 'c': CASE WHEN source_id = 'local' THEN NULL WHEN source_id = 'gdrive:vault' THEN 1.0 WHEN source_id = 'onedrive:attic' THEN 0.0 ELSE -0.01 END}},
+    {{'name': 'path_marker_backup', 'c': CASE WHEN {MARKER} THEN -8.0 END}},
+    {{'name': 'filename_copy_marker', 'c': CASE WHEN {COPYNAME} THEN -6.0 END}},
+    {{'name': 'under_active_home', 'c': CASE WHEN {_within_sql(HOMES[:1])} THEN 4.0 END}},
+    {{'name': 'under_inactive_home', 'c': CASE WHEN {HOMEISH} IS NOT NULL AND NOT ({_within_sql(HOMES[:1])}) THEN -4.0 END}},
+    {{'name': 'downloads_transit', 'c': CASE WHEN {HOMEISH} = 'Downloads' THEN -2.0 END}},
+    {{'name': 'depth_penalty_per_level', 'c': -0.5 * {DEPTH}}},
+    {{'name': 'newest_mtime', 'c': CASE WHEN newest <> oldest AND mtime = newest THEN 3.0 END}},
+    {{'name': 'oldest_mtime_tiebreak', 'c': CASE WHEN newest <> oldest AND mtime = oldest THEN 1.0 END}},
+    {{'name': 'external_drive_penalty', 'c': CASE WHEN starts_with(path, '/Volumes/') AND any_internal THEN -2.0 END}},
+    {{'name': 'larger_size', 'c': CASE WHEN smallest < largest AND size = largest THEN 2.0 END}}] END AS signals
   FROM info i LEFT JOIN feat ON i.full_hash = feat.g),
 scored AS (SELECT *, round(coalesce(list_sum([CAST(s.c AS DOUBLE) for s in signals if s.c IS NOT NULL]), 0.0), 6) AS score FROM sig),
 ranked AS (SELECT *, CASE WHEN is_informational THEN false ELSE row_number() OVER (PARTITION BY full_hash, is_informational ORDER BY score DESC, depth, path DESC) = 1 END AS is_proposed_keeper FROM scored)

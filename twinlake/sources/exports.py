@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlake.session import cut
+
 DRIVE = "id string, name string, mimeType string, size string, md5Checksum string, modifiedTime string, trashed boolean, shared boolean, ownedByMe boolean, parents array<string>, version string, owners array<struct<emailAddress:string>>"
 ONEDRIVE = "id string, name string, size bigint, eTag string, deleted struct<state:string>, folder struct<childCount:int>, remoteItem struct<id:string>, file struct<hashes:struct<sha256Hash:string>>, parentReference struct<path:string>, lastModifiedDateTime string, createdBy struct<user:struct<id:string>>"
 PHOTOS = "id string, filename string, mediaMetadata struct<creationTime:string>"
@@ -13,18 +15,21 @@ PARENT_HOPS = 50
 
 
 def folder_paths(folders: DataFrame, hops: int = PARENT_HOPS) -> DataFrame:
-    """``(id, folder_path)`` of ``folders (id, name, parent)``: names joined from the top, by doubling.
+    """``(id, folder_path, is_cut)`` of ``folders (id, name, parent)``: names joined from the top, by doubling.
 
-    Each round joins every folder with the path its ancestor has so far, so chains of n folders take log n
-    rounds. Folders on a cycle or deeper than ``hops`` stop there and keep what they have.
+    Each round joins every folder with the names its ancestor has so far and is written, so chains of n
+    folders take log n rounds and plans stay small. A folder has the ``hops`` names nearest to it; ``is_cut``
+    says that there were more, as there always are on a cycle. Of two rows with one id the lesser holds.
     """
-    rows = folders.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("name", "parent")).alias("v")).select("id", F.col("v.name").alias("folder_path"), F.col("v.parent").alias("up"))
+    held = folders.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("name", "parent")).alias("v"))
+    rows = cut(held.select("id", F.array("v.name").alias("names"), F.col("v.parent").alias("up")))
     done = 1
-    while done < hops and not rows.filter("up IS NOT NULL").isEmpty():
-        above = rows.select(F.col("id").alias("a"), F.col("folder_path").alias("ap"), F.col("up").alias("au"))
-        rows = rows.join(above, F.col("up") == F.col("a"), "left").select("id", F.concat_ws("/", "ap", "folder_path").alias("folder_path"), F.col("au").alias("up"))
+    while done < hops + 1 and not rows.filter("up IS NOT NULL").isEmpty():
+        above = rows.select(F.col("id").alias("a"), F.col("names").alias("an"), F.col("up").alias("au"))
+        names = F.concat(F.coalesce("an", F.array().cast("array<string>")), "names")
+        rows = cut(rows.join(above, F.col("up") == F.col("a"), "left").select("id", F.slice(names, -F.least(F.size(names), F.lit(hops + 1)), hops + 1).alias("names"), F.col("au").alias("up")))
         done *= 2
-    return rows.select("id", "folder_path")
+    return rows.select("id", F.array_join(F.slice("names", -F.least(F.size("names"), F.lit(hops)), hops), "/").alias("folder_path"), (F.size("names") > hops).alias("is_cut"))
 
 
 def _inventory(df: DataFrame, source: str) -> DataFrame:
@@ -47,7 +52,7 @@ def drive_files(spark: SparkSession, path: str, source: str) -> DataFrame:
     rows = spark.read.schema(DRIVE).json(path)
     folders = rows.filter("mimeType = 'application/vnd.google-apps.folder'").select("id", "name", F.try_element_at("parents", F.lit(1)).alias("parent"))
     live = rows.filter("id IS NOT NULL AND NOT coalesce(trashed, false) AND NOT startswith(coalesce(mimeType, ''), 'application/vnd.google-apps.')").withColumn("bytes", F.expr("try_cast(size AS BIGINT)")).filter("bytes >= 0")
-    placed = live.withColumn("up", F.try_element_at("parents", F.lit(1))).join(folder_paths(folders).withColumnRenamed("id", "fid"), F.col("up") == F.col("fid"), "left")
+    placed = live.withColumn("up", F.try_element_at("parents", F.lit(1))).join(folder_paths(folders).select(F.col("id").alias("fid"), "folder_path"), F.col("up") == F.col("fid"), "left")
     out = placed.select(
         "id", F.concat_ws("/", "folder_path", "name").alias("rel"), F.col("bytes").alias("size"), _epoch(F.col("modifiedTime")).alias("mtime"), (F.coalesce("shared", F.lit(False)) | ~F.coalesce("ownedByMe", F.lit(False))).alias("is_shared"),
         F.concat(F.lit("md5:"), F.lower("md5Checksum")).alias("foreign_hash"), F.col("version").alias("etag"), F.try_element_at("owners", F.lit(1))["emailAddress"].alias("owner"),
