@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.functions import paths as P
+from twinlake.session import broadcast_if_small, cut
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:
@@ -28,17 +29,23 @@ def single_sizes(df: DataFrame) -> DataFrame:
 
 
 def staged_digests(df: DataFrame, content: Column, sample: int = 65536) -> DataFrame:
-    """``(path, size, stage, digest)``: contents are only read as far as needed to tell files apart.
+    """``(path, size, stage, digest)``: contents are only digested as far as needed to tell files apart.
 
     A size that occurs once ends at stage ``size``; then only the samples of the rest are digested, and
-    one that occurs once ends at ``partial``; the rest are digested whole.
+    one that occurs once ends at ``partial``; the rest are digested whole. What moves between stages
+    is path, size and sample digest. The paths whose content is needed are counted: few are broadcast,
+    so that contents are filtered where they are read; many are joined by a shuffle. ``path`` is unique.
     """
-    rows = df.select("path", content.alias("content")).withColumn("size", F.length("content"))
-    sizes = rows.select("path", "size")
-    alike = repeated(sizes, "size").select(F.col("path").alias("p"))
-    sampled = rows.join(alike, F.col("path") == F.col("p"), "left_semi").select("path", "size", P.partial_digest(F.col("content"), sample).alias("partial"))
-    close = repeated(sampled, "size", "partial").select(F.col("path").alias("p"))
-    full = rows.join(close, F.col("path") == F.col("p"), "left_semi").select("path", "size", F.lit("full").alias("stage"), P.full_digest(F.col("content")).alias("digest"))
+    rows = df.select("path", content.alias("content"))
+    sizes = cut(rows.select("path", F.length("content").alias("size")))
+
+    def only(paths: DataFrame) -> DataFrame:
+        return rows.join(broadcast_if_small(paths), F.col("path") == F.col("p"), "left_semi")
+
+    alike = cut(repeated(sizes, "size").select(F.col("path").alias("p")))
+    sampled = cut(only(alike).select("path", F.length("content").alias("size"), P.partial_digest(F.col("content"), sample).alias("partial")))
+    close = cut(repeated(sampled, "size", "partial").select(F.col("path").alias("p")))
+    full = only(close).select("path", F.length("content").alias("size"), F.lit("full").alias("stage"), P.full_digest(F.col("content")).alias("digest"))
     partial = sampled.join(close, F.col("path") == F.col("p"), "left_anti").select("path", "size", F.lit("partial").alias("stage"), F.col("partial").alias("digest"))
     single = sizes.join(alike, F.col("path") == F.col("p"), "left_anti").select("path", "size", F.lit("size").alias("stage"), F.lit(None).cast("string").alias("digest"))
     return full.unionByName(partial).unionByName(single)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from twinlake.functions import lexicons as L
 from twinlake.functions import paths as P
+from twinlake.session import cut
 
 CONFIDENT, HINTED = 0.75, 0.4
 
@@ -150,38 +151,30 @@ def split_groups(entries: DataFrame, groups: DataFrame) -> DataFrame:
 def sessions(rows: DataFrame, ts: str, gap: float, keys: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """``rows`` with ``session_no``: a gap of ``gap`` or more (in the unit of ``ts``) begins the next session of its key.
 
-    Without keys all rows are one line of time. Then rows are range-partitioned by time, only each
-    partition's last time and number of gaps go to the driver, and the rest is local to the
-    partition; with keys each key is a window. Null times are ignored.
+    Rows are range-partitioned by key and time and written once, so a key with most rows, or no key at
+    all, is spread over tasks. Each partition's last time and number of gaps per key are carried to
+    the partitions after it by windows over those few numbers and joined back; the rest is local to the
+    partition. Null times are ignored; a null key is a key.
     """
-    live = rows.filter(F.col(ts).isNotNull())
-    by = [F.col(ts), *[F.col(c) for c in order]]
-    if keys:
-        w = Window.partitionBy(*keys).orderBy(*by)
-        new = F.when(F.col(ts) - F.lag(ts).over(w) >= gap, 1).otherwise(0)
-        return live.withColumn("_new", new).withColumn("session_no", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_new")
-    from twinlake.session import cut
-
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(live.repartitionByRange(parts, ts).withColumn("_part", F.spark_partition_id()))
-    w = Window.partitionBy("_part").orderBy(*by)
-    edges = placed.groupBy("_part").agg(F.min(ts).alias("a"), F.max(ts).alias("b")).orderBy("_part").collect()
-    before, last = {}, None
-    for e in edges:
-        before[e["_part"]] = last
-        last = e["b"]
-    previous = F.lit(None).cast("double")
-    for part, b in before.items():
-        if b is not None:
-            previous = F.when(F.col("_part") == part, F.lit(float(b))).otherwise(previous)
-    first = F.row_number().over(w) == 1
-    gapped = placed.withColumn("_before", F.when(first, previous).otherwise(F.lag(ts).over(w).cast("double"))).withColumn("_new", F.when(F.col(ts) - F.col("_before") >= gap, 1).otherwise(0)).drop("_before")
-    gaps = {r["_part"]: r["n"] for r in gapped.groupBy("_part").agg(F.sum("_new").alias("n")).collect()}
-    offset, running = F.lit(0), 0
-    for e in edges:
-        offset = F.when(F.col("_part") == e["_part"], F.lit(running)).otherwise(offset)
-        running += gaps[e["_part"]]
-    return gapped.withColumn("session_no", (F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) + offset).cast("bigint")).drop("_part", "_new")
+    keys = list(keys)
+    live = rows.filter(F.col(ts).isNotNull())
+    placed = cut(live.repartitionByRange(parts, *keys, ts).withColumn("_part", F.spark_partition_id()).withColumn("_all", F.lit(0)))
+    within = Window.partitionBy("_all", *keys, "_part").orderBy(ts, *order)
+    along = Window.partitionBy("_all", *keys).orderBy("_part")
+
+    def carried(df: DataFrame, sums: DataFrame, value: str) -> DataFrame:
+        side = sums.select(*[F.col(k).alias(f"_s_{k}") for k in keys], F.col("_part").alias("_s_part"), value)
+        on = F.col("_part") == F.col("_s_part")
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
+        return df.join(side, on).drop("_s_part", *[f"_s_{k}" for k in keys])
+
+    lasts = placed.groupBy("_all", *keys, "_part").agg(F.max(ts).alias("_last")).withColumn("_before", F.lag("_last").over(along))
+    gapped = carried(placed, lasts, "_before").withColumn("_before", F.coalesce(F.lag(ts).over(within), "_before")).withColumn("_new", F.when(F.col(ts) - F.col("_before") >= gap, 1).otherwise(0))
+    gaps = gapped.groupBy("_all", *keys, "_part").agg(F.sum("_new").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = carried(gapped, gaps, "_off").withColumn("session_no", (F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_off")).cast("bigint"))
+    return out.drop("_part", "_all", "_before", "_new", "_off")
 
 
 def media_events(entries: DataFrame, gap_hours: float = 12.0, least: int = 5) -> DataFrame:

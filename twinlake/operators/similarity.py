@@ -67,26 +67,33 @@ def audio_pairs(prints: DataFrame, threshold: float = 0.95, gate: float = 2.0) -
     return pairs.select("a", "b", F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)).alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
 
 
-def video_pairs(signatures: DataFrame, threshold: float = 0.9, gate: float = 5.0, bits: int = 256, bands: int = 8) -> DataFrame:
+def video_pairs(signatures: DataFrame, threshold: float = 0.9, gate: float = 5.0, bits: int = 256) -> DataFrame:
     """``(a, b, similarity)`` of signatures ``(key, duration, frames)``, frames being hex codes; a < b.
 
     Similarity is 1 - mean distance of frames at equal places / ``bits``; 0 for unequal numbers of
-    frames or durations more than ``gate`` apart. The mean is reached by at least one frame, whose
-    distance over ``bands`` bands leaves one band with at most distance / bands bits changed; candidates
-    share frame count, duration bin, place and the number of set bits of that band, to that tolerance.
+    frames or durations more than ``gate`` apart. The mean is reached by at least one frame. Of more bands
+    than half of its distance, one has at most one bit changed: candidates share frame count, duration
+    bin, place and a band, either as it is or with one bit flipped on one of the two sides.
     """
-    most = int((1 - threshold) * bits + _EPS) // bands
+    most, digits = int((1 - threshold) * bits + _EPS), bits // 4
+    bands = most // 2 + 1
+    cuts = [digits * i // bands for i in range(bands + 1)]
+    if bands > digits or digits // bands > 14:
+        raise ValueError("bands of 1 to 14 hex digits are needed")
     rows = signatures.filter("key IS NOT NULL AND duration IS NOT NULL AND size(frames) > 0").dropDuplicates(["key"]).withColumn("n", F.size("frames"))
-    width = bits // 4 // bands
-    counts = F.flatten(F.transform("frames", lambda f: F.array(*[F.bit_count(F.conv(F.substring(f, width * i + 1, width), 16, 10).cast("bigint")) for i in range(bands)])))
-    keyed = rows.select("key", "duration", "frames", "n", F.floor(F.col("duration") / gate).alias("bin"), F.posexplode(counts).alias("at", "ones"))
-    a = keyed.withColumn("ba", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1))).withColumn("oa", F.explode(F.sequence(F.col("ones") - most, F.col("ones") + most)))
-    a = a.select(F.col("key").alias("a"), F.col("duration").alias("da"), F.col("frames").alias("fa"), F.col("n").alias("na"), "ba", F.col("at").alias("ia"), "oa")
-    pairs = a.join(keyed, (F.col("na") == F.col("n")) & (F.col("ba") == F.col("bin")) & (F.col("ia") == F.col("at")) & (F.col("oa") == F.col("ones")) & (F.col("a") < F.col("key")) & (F.abs(F.col("da") - F.col("duration")) <= gate))
-    pairs = pairs.select("a", F.col("key").alias("b"), "fa", F.col("frames").alias("fb"), "na").dropDuplicates(["a", "b"])
-    total = F.aggregate(F.zip_with("fa", "fb", hamming), F.lit(0), lambda s, x: s + x)
-    similarity = F.coalesce(F.least(F.greatest(1 - total / F.col("na") / float(bits), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return pairs.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
+    band = lambda f, i: F.conv(F.substring(f, cuts[i] + 1, cuts[i + 1] - cuts[i]), 16, 10).cast("bigint")
+    parts = F.flatten(F.transform("frames", lambda f: F.array(*[F.struct(band(f, i).alias("v"), F.lit(4 * (cuts[i + 1] - cuts[i])).alias("width")) for i in range(bands)])))
+    keyed = rows.select("key", "duration", "n", F.floor(F.col("duration") / gate).alias("bin"), F.posexplode(parts).alias("at", "part")).select("key", "duration", "n", "bin", "at", "part.v", "part.width")
+    near = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda b: F.col("v").bitwiseXOR(F.pow(F.lit(2), b).cast("bigint"))))
+    a = keyed.withColumn("near", F.explode(near)).withColumn("ba", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    a = a.select(F.col("key").alias("a"), F.col("duration").alias("da"), F.col("n").alias("na"), "ba", F.col("at").alias("ia"), "near")
+    pairs = a.join(keyed, (F.col("na") == F.col("n")) & (F.col("ba") == F.col("bin")) & (F.col("ia") == F.col("at")) & (F.col("near") == F.col("v")) & (F.col("a") < F.col("key")) & (F.abs(F.col("da") - F.col("duration")) <= gate))
+    pairs = pairs.select("a", F.col("key").alias("b")).distinct()
+    left, right = [rows.select(F.col("key").alias(f"{s}k"), F.col("frames").alias(f"{s}f"), F.col("n").alias(f"{s}n")) for s in "lr"]
+    both = pairs.join(left, F.col("a") == F.col("lk")).join(right, F.col("b") == F.col("rk"))
+    total = F.aggregate(F.zip_with("lf", "rf", hamming), F.lit(0), lambda s, x: s + x)
+    similarity = F.coalesce(F.least(F.greatest(1 - total / F.col("ln") / float(bits), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
