@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from twinlake.functions import paths as P
 from twinlake.operators.versions import latest
 
+# Fixed value: types of documents that only exist at their provider.
+NATIVE_MIME = "application/vnd.google-apps."
 # Largest file of a destination in bytes.
 FILE_LIMITS = {"gdrive": 5 * 1024**4, "onedrive": 250 * 1024**3}
 
@@ -19,10 +21,11 @@ def file_limit(dest_id: str, gigabytes: float | None = None) -> int | None:
     return int(gigabytes * 1024**3) if gigabytes else FILE_LIMITS.get(dest_id.split(":", 1)[0])
 
 
-def migration_plan(source: DataFrame, dest: DataFrame, limit: int | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), min_size: int = 0, max_size: int | None = None, exclude_shared: bool = True) -> DataFrame:
+def migration_plan(source: DataFrame, dest: DataFrame, limit: int | None = None, include: Sequence[str] = (), exclude: Sequence[str] = (), min_size: int = 0, max_size: int | None = None, exclude_shared: bool = True, exclude_native: bool = True) -> DataFrame:
     """``(source_path, dest_expected_path, action, reason)`` for each source file that passes the filters.
 
-    In this order: shared files are deferred, files outside patterns or sizes dropped, files above the
+    In this order: shared files are deferred, then native documents (by ``mime``, where the source has that
+    column: they have no bytes to copy), files outside patterns or sizes dropped, files above the
     limit are errors, files that the destination holds with equal size and a digest of one algorithm
     are skipped, all others copied. ``max_size`` is inclusive. The destination is joined by relative path;
     of several files at one path, that of the greatest path counts.
@@ -34,12 +37,15 @@ def migration_plan(source: DataFrame, dest: DataFrame, limit: int | None = None,
     dropped = (~P.matches_any(F.col("path"), include) if include else F.lit(False)) | P.matches_any(F.col("path"), exclude) | (F.col("size") < min_size)
     dropped = dropped if max_size is None else dropped | (F.col("size") > max_size)
     over = F.lit(False) if limit is None else F.col("size") > limit
-    action = F.when(F.col("is_shared") & F.lit(exclude_shared), "defer").when(dropped, None).when(over, "error").when(there, "skip").otherwise("copy")
+    native = F.coalesce(F.col("mime").startswith(NATIVE_MIME), F.lit(False)) & F.lit(exclude_native) if "mime" in source.columns else F.lit(False)
+    shared = F.coalesce("is_shared", F.lit(False)) & F.lit(exclude_shared)
+    action = F.when(shared | native, "defer").when(dropped, None).when(over, "error").when(there, "skip").otherwise("copy")
     reason = {"defer": "shared file", "error": "over size limit", "skip": "identical at destination", "copy": "eligible"}
     out = rows.withColumn("action", action).filter("action IS NOT NULL")
     why = F.lit(None).cast("string")
     for k, v in reason.items():
         why = F.when(F.col("action") == k, v).otherwise(why)
+    why = F.when(native & ~shared, "native document").otherwise(why)
     return out.select("source_id", F.col("path").alias("source_path"), "size", "dest_expected_path", "action", why.alias("reason"))
 
 
