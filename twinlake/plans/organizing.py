@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import mimetypes
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,11 +122,42 @@ fold AS (SELECT folder, n_files, -b.n AS n_dominant, concat_ws('/', nullif(b.dom
   FROM tp WHERE n_files >= 3 AND -b.n / n_files >= 0.6 AND b.domain <> 'Unsorted')"""
 _STEM = f"regexp_replace({BASE}, '^(.+)\\.[^.]+$', '\\1')"
 _DATE = f"regexp_extract({BASE}, '(?:^|\\D)((?:19|20)\\d{{2}}[-_./](?:0[1-9]|1[0-2])[-_./](?:0[1-9]|[12]\\d|3[01]))(?:\\D|$)', 1)"
+def music_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags read back from files made of the signals: each distinct row of them as the head of a music file."""
+    from twinlake.sources.signals import read_signals
+
+    @F.udf("binary", useArrow=True)
+    def tagged(artist: str, band: str, album: str) -> bytes:
+        frames = b"".join(k + len(v).to_bytes(4, "big") + b"\0\0" + v for k, t in ((b"TPE1", artist), (b"TPE2", band), (b"TALB", album)) if t is not None for v in [b"\1" + t.encode("utf-16")])
+        n = len(frames)
+        return b"ID3\3\0\0" + bytes((n >> s) & 127 for s in (21, 14, 7, 0)) + frames + b"\xff\xfb" + bytes(64)
+
+    rows = table(spark, sf_dir, "signal_sets").select("path", "id3_artist", "id3_albumartist", "id3_album").filter("path IS NOT NULL").distinct()
+    files = rows.select(F.concat("path", F.lit(".mp3")).alias("path"), tagged("id3_artist", "id3_albumartist", "id3_album").alias("content"))
+    return read_signals(files).select("path", "id3_artist", "id3_albumartist", "id3_album", "failed")
+
+
+def file_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type by suffix, year and month by time of each file."""
+    from twinlake.sources.signals import name_and_time_signals
+
+    return name_and_time_signals(current(spark, sf_dir))
+
+
+def _tag_sql(c: str) -> str:
+    return f"nullif(trim(string_split({c}, chr(0))[1]), '') AS {c}"
+
+
+_TYPES = "MAP {" + ", ".join(f"'{s}': '{t}'" for s, t in sorted(mimetypes.types_map.items())) + "}"
 QUERIES = {
+    "music_tags": music_tags, "file_kinds": file_kinds,
     "name_signals": name_signals, "text_classes": text_classes, "signals_merged": signals_merged, "organized": organized, "organized_domains": organized_domains, "organized_folders": organized_folders,
     "organized_splits": organized_splits, "organized_names": organized_names, "media_events": media_events, "user_sessions": user_sessions,
 }
 ORACLES = {
+    "music_tags": f"SELECT path || '.mp3' AS path, {_tag_sql('id3_artist')}, {_tag_sql('id3_albumartist')}, {_tag_sql('id3_album')}, CAST(NULL AS VARCHAR) AS failed FROM (SELECT DISTINCT path, id3_artist, id3_albumartist, id3_album FROM signal_sets WHERE path IS NOT NULL)",
+    "file_kinds": f"""WITH {INV}, t AS (SELECT path, {_TYPES}[{SUFFIX}] AS m, make_timestamp(CAST(floor(mtime) AS BIGINT) * 1000000) AS d FROM inv)
+        SELECT path, string_split(m, '/')[1] AS mime_top, string_split(m, '/')[2] AS mime_sub, CAST(year(d) AS INTEGER) AS mtime_year, CAST(month(d) AS INTEGER) AS mtime_month FROM t""",
     "name_signals": f"""WITH {INV} SELECT path, translate(nullif({_DATE}, ''), '_./', '---') AS fname_date, CAST(nullif(CASE WHEN {_DATE} <> '' THEN substr({_DATE}, 1, 4) ELSE regexp_extract({BASE}, '(?:^|\\D)((?:19|20)\\d{{2}})(?:\\D|$)', 1) END, '') AS INTEGER) AS fname_year,
         CAST(nullif(regexp_extract({BASE}, '(?i)(?:^|[^A-Za-z0-9])(?:IMG|DSC|MVI|VID|PXL)_?(\\d{{2,6}})', 1), '') AS INTEGER) AS fname_seqno, array_to_string(list_sort(list_filter({_K(L.FILENAME_KEYWORDS)}, lambda k: contains(lower({BASE}), k))), ',') AS fname_keywords,
         list_filter({_K((*L.VENDORS, *L.INSTITUTIONS, *L.BROKERAGES))}, lambda v: contains(translate(lower({_STEM}), '_-', '  '), lower(v)))[1] AS fname_issuer,
