@@ -307,3 +307,12 @@ def test_budget_that_takes_too_many_rounds_is_an_error(spark):
     assert rows(reconcile.within_budget(costs, ["p"], "c", 2, 3), "p", "taken") == [("a", False), ("b", True), ("c", False), ("d", True)]
     with pytest.raises(RuntimeError):
         reconcile.within_budget(costs, ["p"], "c", 10, 1)
+
+
+def test_summed_tests_of_a_rule(spark):
+    rules = (("s", "Work", "{year}", 1, (("sum", (("word", ("cv",), 0.6), ("mime", "text", 0.7)), 1.0),)), ("o", "HR", "x", 0, (("word", ("bill",), 0.8),)))
+    data = [("/a", ["CV"], "text"), ("/b", ["cv"], None), ("/c", ["bill"], "text"), ("/d", None, None)]
+    fields = {c: "string" for c in ("id3_artist", "id3_albumartist", "id3_album", "fname_issuer", "pdf_author", "pdf_class")} | {c: "int" for c in ("fname_year", "pdf_year", "exif_year", "video_year", "mtime_year", "mtime_month", "exif_month")} | {"pdf_class_confidence": "double", "exif_ts_epoch": "double", "video_ts_epoch": "double"}
+    df = spark.createDataFrame(data, "path string, fname_keywords array<string>, mime_top string").withColumns({c: F.lit(None).cast(t) for c, t in fields.items()})
+    got = {r["path"]: (r["domain"], round(r["confidence"], 6)) for r in organize.classified(df, rules).collect()}
+    assert got["/a"] == ("Work", 1.0) and got["/c"] == ("HR", 0.8) and got["/b"][1] == 0.6 and got["/d"][1] == 0.0

@@ -24,18 +24,18 @@ TEXT_CLASSES = {
 }
 #: Rules: id, domain, folder template, precedence, and tests as (kind, argument, weight); a rule's score is its best test's.
 RULES = (
-    ("hr.payslip", "HR", "Payslips/{year}", 90, (("text", "payslip", 0.9), ("word", "payslip salary paystub", 0.5))),
-    ("hr.offer", "HR", "OfferLetters/{year}", 85, (("text", "offer_letter", 0.9), ("word", "offer", 0.4))),
-    ("hr.tax", "HR", "Tax/{year}", 88, (("text", "tax_form", 0.9), ("word", "w2 w-2 1099 form16 form-16 itr 1040 tax", 0.7))),
-    ("personal.ids", "Personal", "IDs", 85, (("text", "id_document", 0.9), ("word", "passport license aadhaar pan", 0.7))),
-    ("personal.insurance", "Personal", "Insurance/{year}", 80, (("text", "insurance", 0.85), ("word", "insurance policy", 0.5))),
-    ("fin.receipt", "Finances", "Receipts/{year}/{vendor}", 82, (("text", "receipt", 0.9), ("word", "receipt", 0.6), ("issuer", "vendor", 0.55))),
-    ("fin.statement", "Finances", "Statements/{year}/{institution}", 82, (("text", "bank_statement", 0.9), ("word", "statement", 0.5), ("issuer", "institution", 0.6))),
-    ("fin.invoice", "Finances", "Invoices/{year}", 78, (("text", "invoice", 0.85), ("word", "invoice bill", 0.6))),
+    ("hr.payslip", "HR", "Payslips/{year}", 90, (("text", "payslip", 0.9), ("word", ("payslip", "salary", "paystub"), 0.5))),
+    ("hr.offer", "HR", "OfferLetters/{year}", 85, (("text", "offer_letter", 0.9), ("word", ("offer",), 0.4))),
+    ("hr.tax", "HR", "Tax/{year}", 88, (("text", "tax_form", 0.9), ("word", ("w2", "w-2", "1099", "form16", "form-16", "itr", "1040", "tax"), 0.7))),
+    ("personal.ids", "Personal", "IDs", 85, (("text", "id_document", 0.9), ("word", ("passport", "license", "aadhaar", "pan"), 0.7))),
+    ("personal.insurance", "Personal", "Insurance/{year}", 80, (("text", "insurance", 0.85), ("word", ("insurance", "policy"), 0.5))),
+    ("fin.receipt", "Finances", "Receipts/{year}/{vendor}", 82, (("text", "receipt", 0.9), ("word", ("receipt",), 0.6), ("issuer", "vendor", 0.55))),
+    ("fin.statement", "Finances", "Statements/{year}/{institution}", 82, (("text", "bank_statement", 0.9), ("word", ("statement",), 0.5), ("issuer", "institution", 0.6))),
+    ("fin.invoice", "Finances", "Invoices/{year}", 78, (("text", "invoice", 0.85), ("word", ("invoice", "bill"), 0.6))),
     ("fin.investment", "Finances", "Investments/{year}", 78, (("text", "investment", 0.85), ("issuer", "brokerage", 0.65))),
     ("photo.event", "Photos", "{year}/{yyyy_mm}", 60, (("mime", "image", 0.7),)),
     ("video.event", "Videos", "{year}/{yyyy_mm}", 60, (("mime", "video", 0.7),)),
     ("media.music", "Media", "Music/{artist}/{album}", 95, (("tags", "", 0.9),)),
-    ("media.books", "Media", "Books", 55, (("word", "book ebook epub", 0.4),)),
-    ("work.docs", "Work", "{year}", 50, (("word", "resume cv proposal deck", 0.4),)),
+    ("media.books", "Media", "Books", 55, (("word", ("book", "ebook", "epub"), 0.4),)),
+    ("work.docs", "Work", "{year}", 50, (("word", ("resume", "cv", "proposal", "deck"), 0.4),)),
 )

@@ -26,7 +26,7 @@ AUDIO_SUFFIXES = (".mp3", ".m4a", ".flac", ".wav", ".ogg", ".aac", ".wma", ".opu
 VIDEO_SUFFIXES = (".mp4", ".mov", ".mkv", ".avi", ".webm", ".wmv", ".flv", ".m4v")
 ARCHIVE_SUFFIXES = (".tar.gz", ".tgz", ".tar.bz2", ".tbz2", ".tar.xz", ".txz", ".tar", ".zip")
 
-#: A file name that a copy command made: "a (1).x", "a copy.x", "a copy 2.x", "a-2.x".
+# Fixed value: a file name that a copy command made: "a (1).x", "a copy.x", "a copy 2.x", "a-2.x".
 COPY_NAME = r"(?i)(?:\s\(\d+\)|\scopy|\scopy\s\d+|-\d+)\.[^.]+$"
 
 

@@ -89,11 +89,17 @@ def _fill(template: str) -> Column:
     return F.concat_ws("/", *[values.get(p[1:-1], F.lit("Unknown")) if p.startswith("{") else F.lit(p) for p in template.split("/")])
 
 
-def _test(kind: str, argument: str, weight: float) -> Column:
+def _test(kind: str, argument: str | tuple, weight: float) -> Column:
+    """What one test of a rule gives; ``sum`` adds up the tests in its argument, to ``weight`` at most."""
+    if kind == "sum":
+        total = F.lit(0.0)
+        for t in argument:
+            total = total + F.coalesce(_test(*t), F.lit(0.0))
+        return F.least(total, F.lit(float(weight)))
     if kind == "text":
         return F.when(F.col("pdf_class") == argument, weight * F.greatest(F.col("pdf_class_confidence"), F.lit(0.7)))
     if kind == "word":
-        return F.when(F.arrays_overlap(F.transform("fname_keywords", F.lower), F.array(*[F.lit(w) for w in argument.split()])), F.lit(weight))
+        return F.when(F.arrays_overlap(F.transform("fname_keywords", F.lower), F.array(*[F.lit(w) for w in argument])), F.lit(weight))
     if kind == "issuer":
         pool = {"vendor": L.VENDORS, "institution": L.INSTITUTIONS, "brokerage": L.BROKERAGES}[argument]
         return F.when(F.lower("fname_issuer").isin(*[p.lower() for p in pool]), F.lit(weight))

@@ -48,33 +48,32 @@ def within_budget(costs: DataFrame, order: Sequence[str], cost: str, budget: int
 
     Greedy with skipping: a row that doesn't fit is passed over and later ones are still tried. Not a
     running sum, but made of some: rows are range-partitioned in order once; a distributed running sum
-    takes all rows up to the first that doesn't fit, rows above the rest are dropped, and so on.
-    Null and negative costs count as 0. ``order`` must be unique.
+    takes all rows up to the first that doesn't fit, rows above the rest are dropped, and so on, one
+    job a round. What reaches the driver is the row that ends each round, at most ``rounds`` of them; more is an
+    error. Null and negative costs count as 0. ``order`` must be unique and without nulls.
     """
     amount = F.greatest(F.coalesce(F.col(cost), F.lit(0)), F.lit(0)).cast("bigint")
     spark = costs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(costs.withColumn("_cost", amount).withColumn("_all", F.lit(0)).repartitionByRange(parts, *order).sortWithinPartitions(*order))
-    left, after, marks = max(0, budget), None, []
     at = F.struct(*order)
+    left, stops = [max(0, budget)], []
     for _ in range(rounds):
-        open_rows = rows.filter(F.col("_cost") <= left)
-        open_rows = open_rows if after is None else open_rows.filter(at > after)
-        sums = running_offsets(open_rows, ["_all"], F.col("_cost"), [F.col(c) for c in order], "_before").withColumn("_fits", F.col("_before") + F.col("_cost") <= left)
-        stop = sums.filter("NOT _fits").agg(F.min(F.struct(*order)).alias("o")).first()["o"]
-        here = F.lit(True) if stop is None else at < _literal(stop, order, rows)
-        run = (F.lit(True) if after is None else at > after) & here & (F.col("_cost") <= left)
-        spent = rows.filter(run).agg(F.sum("_cost").alias("s")).first()["s"] or 0
-        marks.append(run)
-        left -= spent
+        open_rows = rows.filter(F.col("_cost") <= left[-1])
+        open_rows = open_rows.filter(at > stops[-1]) if stops else open_rows
+        sums = running_offsets(open_rows, ["_all"], F.col("_cost"), [F.col(c) for c in order], "_before")
+        stop = sums.filter(F.col("_before") + F.col("_cost") > left[-1]).agg(F.min(F.struct(*order, "_before")).alias("o")).first()["o"]
         if stop is None:
             break
-        after = _literal(stop, order, rows)
+        stops.append(_literal(stop, order, rows))
+        left.append(left[-1] - stop["_before"])
     else:
         raise RuntimeError(f"the budget isn't settled after {rounds} rounds")
-    taken = F.lit(False)
-    for m in marks:
-        taken = taken | m
+    if not stops:
+        return rows.withColumn("taken", F.col("_cost") <= left[0]).drop("_cost", "_all")
+    # A row is taken if what was left at the start of its round allows it and it didn't end that round.
+    past = F.filter(F.array(*stops), lambda s: s <= at)
+    taken = (F.col("_cost") <= F.get(F.array(*[F.lit(x).cast("bigint") for x in left]), F.size(past))) & ~F.array_contains(past, at)
     return rows.withColumn("taken", taken).drop("_cost", "_all")
 
 

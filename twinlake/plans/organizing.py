@@ -98,7 +98,7 @@ def _test_sql(kind: str, argument: str, weight: float) -> str:
     if kind == "text":
         return f"CASE WHEN pdf_class = '{argument}' THEN {weight} * greatest(pdf_class_confidence, 0.7) ELSE 0.0 END"
     if kind == "word":
-        return f"CASE WHEN list_has_any([lower(k) for k in fname_keywords], {_K(argument.split())}) THEN {weight} ELSE 0.0 END"
+        return f"CASE WHEN list_has_any([lower(k) for k in fname_keywords], {_K(argument)}) THEN {weight} ELSE 0.0 END"
     if kind == "issuer":
         return f"CASE WHEN lower(fname_issuer) IN ({', '.join(repr(p.lower()) for p in {'vendor': L.VENDORS, 'institution': L.INSTITUTIONS, 'brokerage': L.BROKERAGES}[argument])}) THEN {weight} ELSE 0.0 END"
     if kind == "mime":
