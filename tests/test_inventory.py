@@ -142,3 +142,12 @@ def test_local_walk_and_archives(spark, tmp_path):
     assert members == {"/out.zip::in.zip": (members["/out.zip::in.zip"][0], None), "/out.zip::in.zip::deep.txt": (4, None), "/out.zip::flat.txt": (4, None), "/t.tar.gz::x": (5, None), "/bad.zip": (None, "corrupt")}
     assert "/out.zip::in.zip::deep.txt" not in {r["path"].removeprefix(str(tmp_path)) for r in walk.archive_members(spark, [str(tmp_path)], 1).collect()}
     assert rows(walk.hashed_files(spark, [str(tmp_path)]).filter("path LIKE '%x+y%'").select("size")) == [(5,)]
+
+
+def test_bundles_and_trashes(spark):
+    paths = ["/a/X.APP/in/y", "/a/b.app", "/a/n.rtfd/m.app/f", "/a/.app.d/x", "x.bundle/y", None, ""]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(P.bundle_root(F.col("p"))).collect()] == ["/a/X.APP", None, "/a/n.rtfd", None, "x.bundle", None, None]
+    data = [("/Users/me/a", "/Users/me/.Trash", False), ("/Volumes/V/a", "/Volumes/V/.Trashes/7", False), ("/Volumes/V/.Trashes/7/a", "/Volumes/V/.Trashes/7", True), ("/Volumes/V/.Trashes/8/a", "/Volumes/V/.Trashes/7", False), ("/Users/me/.Trash/a", "/Users/me/.Trash", True), ("/Users/me/.Trash/../a", "/Users/me/.Trash", False)]
+    df = spark.createDataFrame([(d[0],) for d in data], "p string")
+    assert [tuple(r) for r in df.select("p", P.trash_folder(F.col("p"), "/Users/me", 7), P.inside_trash(F.col("p"), "/Users/me", 7)).collect()] == data

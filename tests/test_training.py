@@ -153,3 +153,16 @@ def test_many_unequal_buckets_are_joined_without_broadcast(spark, monkeypatch):
     left, right = spark.range(5000).selectExpr("id", "id % 7 AS v"), spark.range(100, 5100).selectExpr("id", "id % 3 AS v")
     got = copy_differences(left, right, "id", ["v"]).groupBy("difference").count()
     assert dict(rows(got)) == {"missing_left": 100, "missing_right": 100, "differs": sum(i % 7 != i % 3 for i in range(100, 5000))}
+
+
+def test_cut_frames_can_be_deleted(spark):
+    from twinlake.session import cut, drop_cut
+
+    df = cut(spark.range(10).withColumn("x", F.col("id") * 2))
+    folder = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.isdir(folder) and df.count() == 10
+    drop_cut(df.filter("x > 3"))
+    assert os.path.isdir(folder)
+    drop_cut(df)
+    drop_cut(df)
+    assert not os.path.exists(folder)

@@ -18,6 +18,7 @@ EXCLUDED_VOLUME_PARTS = ("System", "Library", "Applications", "usr", "opt", "pri
 EXCLUDED_DIRS = (".git", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".ruff_cache", ".pytest_cache")
 EXCLUDED_PARTS = ("/.git/objects/", "/System Volume Information/", "/.Trashes/")
 PLACEHOLDER_SUFFIX = ".icloud"
+BUNDLE_SUFFIXES = (".app", ".pages", ".numbers", ".keynote", ".rtfd", ".sparsebundle", ".xcodeproj", ".playground", ".framework", ".bundle")
 COPY_WORDS = ("backup", "backups", "old", "older", "archive", "archives", "duplicate", "duplicates", "copy", "copies")
 TREE_COPY_WORDS = ("backup", "backups", "old", "older", "archive", "archives", "bak", "copy", "copies")
 HOMEISH = ("Desktop", "Documents", "Downloads", "Pictures", "Movies", "Music")
@@ -117,6 +118,25 @@ def is_external(path: Column) -> Column:
     return path.startswith("/Volumes/")
 
 
+def bundle_root(path: Column, suffixes: Sequence[str] = BUNDLE_SUFFIXES) -> Column:
+    """The outermost folder above a path whose name ends like a bundle's, in any case; null if there is none. A bundle in a bundle is part of it."""
+    parts = F.split(path, "/")
+    ends = lambda name: F.lower(name).rlike("(?:" + "|".join(re.escape(x) for x in suffixes) + ")$")
+    at = F.array_position(F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ends), True)
+    return F.when(at > 0, F.array_join(F.slice(parts, F.lit(1), at.cast("int")), "/"))
+
+
+def trash_folder(path: Column, home: str, uid: int) -> Column:
+    """The trash that a removed file lands in: the user's own, or that of the external volume the file is on."""
+    volume = F.regexp_extract(path, "^(/Volumes/[^/]+)(?:/|$)", 1)
+    return F.when(volume != "", F.concat(volume, F.lit(f"/.Trashes/{uid}"))).otherwise(F.lit(f"{home}/.Trash"))
+
+
+def inside_trash(path: Column, home: str, uid: int) -> Column:
+    """Whether a path lies below a trash of the user, where alone files are restored from; a path with ``..`` never does."""
+    return (path.startswith(f"{home}/.Trash/") | path.rlike(rf"^/Volumes/[^/]+/\.Trashes/{uid}/")) & ~F.array_contains(F.split(path, "/"), "..")
+
+
 def archive_kind(path: Column) -> Column:
     low = F.lower(path)
     return F.when(low.rlike(r"\.(tar\.(gz|bz2|xz)|tgz|tbz2|txz|tar)$"), "tar").when(low.endswith(".zip"), "zip")

@@ -56,6 +56,20 @@ def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.rolled_up(current(spark, sf_dir).filter("source_id = 'local' AND NOT is_archive_member"), P.parent(F.col("path")), 1)
 
 
+def suffix_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bundles told by their suffix, rolled up; some folders get one for the purpose."""
+    folder = P.parent(F.col("path"))
+    named = F.concat(folder, F.when(F.length(folder) % 4 == 0, ".App").otherwise(""), F.lit("/"), P.base_name(F.col("path")))
+    rows = current(spark, sf_dir).filter("source_id = 'local' AND NOT is_archive_member").withColumn("path", named)
+    return inventory.rolled_up(rows, P.bundle_root(F.col("path")), 1).select("path", "n_files", "size", "mtime")
+
+
+def trash_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each local file would land in a trash, and whether it lies in one."""
+    rows = current(spark, sf_dir).filter("source_id = 'local'")
+    return rows.select("path", P.trash_folder(F.col("path"), HOMES[0], 501).alias("trash"), P.inside_trash(F.col("path"), HOMES[0], 501).alias("is_inside"))
+
+
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive members as rows of the inventory, with their archive's mtime."""
     return inventory.member_rows(current(spark, sf_dir))
@@ -159,7 +173,7 @@ ranked AS (SELECT *, CASE WHEN is_informational THEN false ELSE row_number() OVE
 """
 
 QUERIES = {
-    "file_intake": file_intake, "file_paths": file_paths, "scan_roots": scan_roots, "bundles": bundles, "archive_members": archive_members, "united_sources": united_sources, "media_intake": media_intake,
+    "file_intake": file_intake, "file_paths": file_paths, "scan_roots": scan_roots, "bundles": bundles, "suffix_bundles": suffix_bundles, "trash_places": trash_places, "archive_members": archive_members, "united_sources": united_sources, "media_intake": media_intake,
     "size_buckets": size_buckets, "single_sizes": single_sizes, "staged_digests": staged_digests, "exact_groups": exact_groups, "single_digests": single_digests, "scored_members": scored_members,
     "score_contributions": score_contributions, "group_reclaim": group_reclaim, "discard_plan": discard_plan, "report_totals": report_totals,
 }
@@ -167,6 +181,10 @@ _DIGEST = " || '-' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) A
 _DIRS = ", ".join(f"'{d}'" for d in P.EXCLUDED_DIRS)
 _WORDS = ", ".join(f"'{w}'" for w in P.TREE_COPY_WORDS)
 ORACLES = {
+    "suffix_bundles": f"""WITH {INV}, b AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, size, mtime FROM inv WHERE source_id = 'local' AND NOT is_archive_member)
+        SELECT folder || '.App' AS path, count(*) AS n_files, CAST(sum(size) AS BIGINT) AS size, max(mtime) AS mtime FROM b WHERE length(folder) % 4 = 0 GROUP BY folder HAVING sum(size) >= 1""",
+    "trash_places": f"""WITH {INV} SELECT path, CASE WHEN path LIKE '/Volumes/%' THEN '/Volumes/' || string_split(path, '/')[3] || '/.Trashes/501' ELSE '{HOMES[0]}/.Trash' END AS trash,
+        starts_with(path, '{HOMES[0]}/.Trash/') OR (path LIKE '/Volumes/%' AND string_split(path, '/')[4] = '.Trashes' AND string_split(path, '/')[5] = '501' AND len(string_split(path, '/')) > 5) AS is_inside FROM inv WHERE source_id = 'local'""",
     "file_intake": f"""WITH {INV} SELECT path, CASE WHEN list_has_any(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), [{_DIRS}]) THEN 'folder name' WHEN {_PLACE} THEN 'excluded place'
         WHEN regexp_matches(path, '/to sort/') OR ends_with(path, '.bin') THEN 'pattern' WHEN ends_with(path, '.icloud') THEN 'placeholder' WHEN size < 1024 THEN 'size' END AS reason FROM inv""",
     "file_paths": f"""WITH {INV} SELECT path, {BASE} AS name, {SUFFIX} AS suffix, regexp_replace({BASE}, '^(.+)\\.[^.]+$', '\\1') AS stem, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, CAST({DEPTH} AS INTEGER) AS depth,
