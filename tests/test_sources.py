@@ -120,3 +120,33 @@ def test_session_stream_matches_batch(spark, tmp_path):
     events = [{"user_id": 1, "ts": f"2024-01-{1 + h // 24:02}T{h % 24:02}:00:00"} for h in hours] + [{"user_id": 1, "ts": "2024-03-01T00:00:00"}]
     got = _streamed(spark, tmp_path, [events[:3], events[3:], [{"user_id": 2, "ts": "2024-04-01T00:00:00"}]], "user_id int, ts timestamp", lambda s: incremental.event_sessions(s).select("user_id", "n"))
     assert [n for u, n in got if u == 1][:3] == [1, 2, 3] or sorted(n for u, n in got if u == 1) == [1, 1, 2, 3]
+
+
+def test_accounts(spark, tmp_path):
+    p = tmp_path / "accounts.toml"
+    assert documents.read_accounts(spark, str(p)).count() == 0
+    p.write_text('[[accounts]]\nid = "gdrive:a"\ntype = "gdrive"\n[[accounts]]\nlabel = "no id"\n[[accounts]]\nid = "b"\n')
+    p.chmod(0o644)
+    with pytest.raises(PermissionError):
+        documents.read_accounts(spark, str(p))
+    p.chmod(0o600)
+    assert rows(documents.read_accounts(spark, str(p)), "id", "type", "user") == [("b", "", ""), ("gdrive:a", "gdrive", "")]
+    p.write_text('[[accounts]]\nid = "b"\n[[accounts]]\nid = "b"\n')
+    with pytest.raises(ValueError):
+        documents.read_accounts(spark, str(p))
+
+
+def test_groups_and_decisions_are_appended_and_cleared(spark, tmp_path):
+    scored = scoring.scored_members(inv(spark, dict(path="/a/x"), dict(path="/a/b/y")))
+    p, q = str(tmp_path / "groups"), str(tmp_path / "decisions")
+    for t in (1.0, 2.0):
+        documents.append_groups(scored, p, "exact", t)
+    got = spark.read.parquet(p)
+    assert got.count() == 4 and rows(got.select("kind", "created_ts").distinct()) == [("exact", 1.0), ("exact", 2.0)]
+    one = spark.createDataFrame([("g", "/a", "/b", None, True, 1.0)], "group_id string, kept_path string, discarded_path string, features map<string,double>, user_overrode boolean, ts double")
+    documents.append_decisions(one.withColumn("other", F.lit(1)), q)
+    documents.append_decisions(one.limit(0), q)
+    assert spark.read.parquet(q).count() == 1
+    documents.clear_table(spark, q)
+    documents.clear_table(spark, str(tmp_path / "none"))
+    assert spark.read.parquet(q).count() == 0 and spark.read.parquet(q).columns == one.columns

@@ -114,3 +114,39 @@ def read_weights(path: str | None = None) -> dict[str, float]:
     if unknown := given.keys() - WEIGHTS.keys():
         raise ValueError(f"unknown weights: {sorted(unknown)}")
     return WEIGHTS | {k: float(v) for k, v in given.items()}
+
+
+def read_accounts(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, type, label, user, added_ts)`` of the registered accounts in a TOML file; a missing file has none.
+
+    A file that others than its owner may read or write is refused, and so is an id that comes twice. Entries
+    without an id are ignored; other fields that lack are empty. Secrets aren't in this file and aren't read.
+    """
+    rows = []
+    if os.path.exists(path):
+        if os.stat(path).st_mode & 0o077:
+            raise PermissionError(f"{path} may be used by others than its owner")
+        with open(path, "rb") as f:
+            entries = tomllib.load(f).get("accounts", [])
+        rows = [tuple(str(e.get(k, "")) for k in ("id", "type", "label", "user", "added_ts")) for e in entries if isinstance(e, Mapping) and "id" in e]
+    if len({r[0] for r in rows}) < len(rows):
+        raise ValueError("an account is registered twice")
+    return spark.createDataFrame(rows, "id string, type string, label string, user string, added_ts string")
+
+
+def append_groups(members: DataFrame, path: str, kind: str, created: float) -> None:
+    """Append scored groups to the table of groups: one row a member, with the kind and the time they were found."""
+    rows = members.select(F.lit(kind).alias("kind"), F.lit(float(created)).alias("created_ts"), F.col("full_hash").alias("group_id"), "path", "score", "is_proposed_keeper", "is_informational")
+    rows.write.mode("append").partitionBy("kind").parquet(path)
+
+
+def append_decisions(decisions: DataFrame, path: str) -> None:
+    """Append ``decisions (group_id, kept_path, discarded_path, features, user_overrode, ts)`` to the log: one row a discarded file, so a large group is no large row."""
+    decisions.select("group_id", "kept_path", "discarded_path", "features", "user_overrode", "ts").write.mode("append").parquet(path)
+
+
+def clear_table(spark: SparkSession, path: str) -> None:
+    """Empty a cache table; its layout stays. What isn't there is left alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
