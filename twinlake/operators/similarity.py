@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.operators.components import components
+from twinlake.session import cut
 
 _EPS = 1e-9
 
@@ -67,33 +68,56 @@ def audio_pairs(prints: DataFrame, threshold: float = 0.95, gate: float = 2.0) -
     return pairs.select("a", "b", F.least(F.greatest(similarity, F.lit(0.0)), F.lit(1.0)).alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
 
 
+def _film_keys(rows: DataFrame, gate: float, bits: int, bands: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides ``(key, id, duration, v, after)`` of the join of ``video_pairs``, the shorter and the longer film's.
+
+    A key stands for frame count, span of durations, place, band and the band's value without one hex
+    digit; ``v`` is the whole value, ``after`` that of the next band in the ring of bands, null unless
+    the frame has all its digits. The longer film is in each span that a film up to twice the gate
+    shorter is in.
+    """
+    digits, span = bits // 4, 4 * gate
+    cuts = [digits * i // bands for i in range(bands + 1)]
+    values = rows.select("id", "duration", "n", F.posexplode("frames").alias("at", "f")).select("id", "duration", "n", "at", (F.length("f") == digits).alias("full"), F.array(*[F.conv(F.substring("f", cuts[i] + 1, cuts[i + 1] - cuts[i]), 16, 10).cast("bigint") for i in range(bands)]).alias("vs"))
+    v = [F.get("vs", F.lit(i)) for i in range(bands)]
+    parts = [F.struct(F.lit(i).alias("band"), v[i].alias("v"), F.when(F.col("full"), v[(i + 1) % bands]).alias("after"), F.array(*[v[i].bitwiseAND(F.lit(~(15 << 4 * j)).cast("bigint")) for j in range(cuts[i + 1] - cuts[i])]).alias("masked")) for i in range(bands)]
+    bands_of = values.select("id", "duration", "n", "at", F.inline(F.array(*parts))).filter("v IS NOT NULL")
+    keyed = bands_of.select("id", "duration", "n", "at", "band", "v", "after", F.posexplode("masked").alias("left_out", "rest"))
+    key = lambda s: F.xxhash64("n", s, "at", "band", "left_out", "rest").alias("key")
+    shorter = keyed.select(key(F.floor(F.col("duration") / span)), "id", "duration", "v", "after")
+    spans = F.sequence(F.floor((F.col("duration") - 2 * gate) / span), F.floor(F.col("duration") / span))
+    return shorter, keyed.withColumn("span", F.explode(spans)).select(key("span"), "id", "duration", "v", "after")
+
+
 def video_pairs(signatures: DataFrame, threshold: float = 0.9, gate: float = 5.0, bits: int = 256) -> DataFrame:
     """``(a, b, similarity)`` of signatures ``(key, duration, frames)``, frames being hex codes; a < b.
 
     Similarity is 1 - mean distance of frames at equal places / ``bits``; 0 for unequal numbers of
     frames or durations more than ``gate`` apart. The mean is reached by at least one frame. Of more bands
-    than half of its distance, one has at most one bit changed: candidates share frame count, duration
-    bin, place and a band, either as it is or with one bit flipped on one of the two sides.
+    than half of its distance, one has at most one bit changed, and with the next in the ring of bands at
+    most twice the bands' mean (pigeonring): candidates share frame count, durations, place and a band but
+    for one hex digit. Films are numbered and written once, so that the many keys carry numbers only; a
+    plan can't tell how many keys come of a film, so their join is never a broadcast.
     """
     most, digits = int((1 - threshold) * bits + _EPS), bits // 4
     bands = most // 2 + 1
-    cuts = [digits * i // bands for i in range(bands + 1)]
     if bands > digits or digits // bands > 14:
         raise ValueError("bands of 1 to 14 hex digits are needed")
-    rows = signatures.filter("key IS NOT NULL AND duration IS NOT NULL AND size(frames) > 0").dropDuplicates(["key"]).withColumn("n", F.size("frames"))
-    band = lambda f, i: F.conv(F.substring(f, cuts[i] + 1, cuts[i + 1] - cuts[i]), 16, 10).cast("bigint")
-    parts = F.flatten(F.transform("frames", lambda f: F.array(*[F.struct(band(f, i).alias("v"), F.lit(4 * (cuts[i + 1] - cuts[i])).alias("width")) for i in range(bands)])))
-    keyed = rows.select("key", "duration", "n", F.floor(F.col("duration") / gate).alias("bin"), F.posexplode(parts).alias("at", "part")).select("key", "duration", "n", "bin", "at", "part.v", "part.width")
-    near = F.concat(F.array("v"), F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda b: F.col("v").bitwiseXOR(F.pow(F.lit(2), b).cast("bigint"))))
-    a = keyed.withColumn("near", F.explode(near)).withColumn("ba", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    a = a.select(F.col("key").alias("a"), F.col("duration").alias("da"), F.col("n").alias("na"), "ba", F.col("at").alias("ia"), "near")
-    pairs = a.join(keyed, (F.col("na") == F.col("n")) & (F.col("ba") == F.col("bin")) & (F.col("ia") == F.col("at")) & (F.col("near") == F.col("v")) & (F.col("a") < F.col("key")) & (F.abs(F.col("da") - F.col("duration")) <= gate))
-    pairs = pairs.select("a", F.col("key").alias("b")).distinct()
-    left, right = [rows.select(F.col("key").alias(f"{s}k"), F.col("frames").alias(f"{s}f"), F.col("n").alias(f"{s}n")) for s in "lr"]
-    both = pairs.join(left, F.col("a") == F.col("lk")).join(right, F.col("b") == F.col("rk"))
+    rows = signatures.filter("key IS NOT NULL AND duration IS NOT NULL AND size(frames) > 0").select("key", "duration", "frames")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.repartition(tasks, "key").dropDuplicates(["key"]).withColumn("n", F.size("frames")).withColumn("id", F.monotonically_increasing_id()))
+    x, y = [side.alias(s) for side, s in zip(_film_keys(rows, gate, bits, bands), "xy")]
+    apart = F.col("y.duration") - F.col("x.duration")
+    changed = F.bit_count(F.col("x.v").bitwiseXOR(F.col("y.v")))
+    after = F.coalesce(F.bit_count(F.col("x.after").bitwiseXOR(F.col("y.after"))), F.lit(0))
+    alike = (changed <= 1) & (changed + after <= 2 * most // bands)
+    ordered = ((apart > 0) | ((apart == 0) & (F.col("x.id") < F.col("y.id")))) & (apart <= gate)
+    pairs = x.join(y.hint("merge"), (F.col("x.key") == F.col("y.key")) & ordered & alike).select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
+    left, right = [rows.select(F.col("id").alias(f"{s}i"), F.col("key").alias(f"{s}k"), F.col("frames").alias(f"{s}f"), F.col("n").alias(f"{s}n")) for s in "lr"]
+    both = pairs.join(left, F.col("x") == F.col("li")).join(right, F.col("y") == F.col("ri"))
     total = F.aggregate(F.zip_with("lf", "rf", hamming), F.lit(0), lambda s, x: s + x)
     similarity = F.coalesce(F.least(F.greatest(1 - total / F.col("ln") / float(bits), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
-    return both.select("a", "b", similarity.alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
+    return both.select(F.least("lk", "rk").alias("a"), F.greatest("lk", "rk").alias("b"), similarity.alias("similarity")).filter(F.col("similarity") >= threshold - _EPS)
 
 
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:

@@ -14,7 +14,7 @@ from twinlake.plans import organizing as O
 from twinlake.plans import safety as S
 from twinlake.plans import trees as T
 from twinlake.plans.inventory import INV, SUFFIX, current
-from twinlake.session import table
+from twinlake.session import cut, table
 
 ROOTS, HOMES = ["/Users/bawis", "/Volumes"], ["/Users/bawis"]
 DEST = "/Users/bawis/Sorted"
@@ -149,7 +149,7 @@ def video_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of films alike: members, keeper, least similarity, range of durations."""
     frames = F.array(F.col("code"), *[F.sha2(F.concat(F.substring("full_hash", 1, 64), F.lit(str(i))), 256) for i in range(4)])
     media = N._media(spark, sf_dir, "video").withColumn("key", F.concat_ws("@", "code", F.col("duration").cast("string"))).withColumn("frames", frames)
-    return _timed(media, similarity.video_pairs(media.select("key", "duration", "frames")))
+    return _timed(media, cut(similarity.video_pairs(media.select("key", "duration", "frames"))))
 
 
 def _timed(media: DataFrame, pairs: DataFrame) -> DataFrame:
