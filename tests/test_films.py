@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tests.conftest import rows
@@ -48,6 +49,20 @@ def test_groups_of_films_broadcast_no_keys(small_broadcasts, films):
     compared(small_broadcasts, films, "video_groups")
 
 
+def test_pairs_of_films_broadcast_no_keys(small_broadcasts, films):
+    compared(small_broadcasts, films, "video_pairs")
+
+
+def test_films_with_an_equal_frame_meet_once_a_band(spark):
+    equal, one_off = "5a" * 32, "5a" * 31 + "5b"
+    df = spark.createDataFrame([(1, 3.0, 1, [equal]), (2, 4.0, 1, [equal]), (3, 44.0, 1, [one_off])], "id long, duration double, n int, frames array<string>")
+    x, y = similarity._film_keys(df, 5.0, 256, 13)
+    met = x.join(y.select("key", y["id"].alias("other")), "key").groupBy("id", "other").count().collect()
+    assert sorted(map(tuple, met)) == [(1, 1, 13), (1, 2, 13), (2, 1, 13), (2, 2, 13), (3, 3, 13)]
+    x, y = similarity._film_keys(df.withColumn("duration", F.lit(1.0)), 5.0, 256, 13)
+    assert x.join(y.select("key", y["id"].alias("other")), "key").filter("id = 1 AND other = 3").count() == 13
+
+
 def test_films_at_the_edges_of_bins_and_bands(spark):
     rng = random.Random(9)
     films = []

@@ -71,22 +71,24 @@ def audio_pairs(prints: DataFrame, threshold: float = 0.95, gate: float = 2.0) -
 def _film_keys(rows: DataFrame, gate: float, bits: int, bands: int) -> tuple[DataFrame, DataFrame]:
     """Both sides ``(key, id, duration, v, after)`` of the join of ``video_pairs``, the shorter and the longer film's.
 
-    A key stands for frame count, span of durations, place, band and the band's value without one hex
-    digit; ``v`` is the whole value, ``after`` that of the next band in the ring of bands, null unless
-    the frame has all its digits. The longer film is in each span that a film up to twice the gate
+    A key stands for frame count, span of durations, place, band and the band's value, either whole or
+    without one hex digit; in the latter case the parities of the set bits have to differ, so equal values
+    meet once only. ``v`` is the whole value, ``after`` that of the next band in the ring of bands, null
+    unless the frame has all its digits. The longer film is in each span that a film up to twice the gate
     shorter is in.
     """
     digits, span = bits // 4, 4 * gate
     cuts = [digits * i // bands for i in range(bands + 1)]
     values = rows.select("id", "duration", "n", F.posexplode("frames").alias("at", "f")).select("id", "duration", "n", "at", (F.length("f") == digits).alias("full"), F.array(*[F.conv(F.substring("f", cuts[i] + 1, cuts[i + 1] - cuts[i]), 16, 10).cast("bigint") for i in range(bands)]).alias("vs"))
     v = [F.get("vs", F.lit(i)) for i in range(bands)]
-    parts = [F.struct(F.lit(i).alias("band"), v[i].alias("v"), F.when(F.col("full"), v[(i + 1) % bands]).alias("after"), F.array(*[v[i].bitwiseAND(F.lit(~(15 << 4 * j)).cast("bigint")) for j in range(cuts[i + 1] - cuts[i])]).alias("masked")) for i in range(bands)]
+    parts = [F.struct(F.lit(i).alias("band"), v[i].alias("v"), F.when(F.col("full"), v[(i + 1) % bands]).alias("after"), F.array(v[i], *[v[i].bitwiseAND(F.lit(~(15 << 4 * j)).cast("bigint")) for j in range(cuts[i + 1] - cuts[i])]).alias("masked")) for i in range(bands)]
     bands_of = values.select("id", "duration", "n", "at", F.inline(F.array(*parts))).filter("v IS NOT NULL")
     keyed = bands_of.select("id", "duration", "n", "at", "band", "v", "after", F.posexplode("masked").alias("left_out", "rest"))
-    key = lambda s: F.xxhash64("n", s, "at", "band", "left_out", "rest").alias("key")
-    shorter = keyed.select(key(F.floor(F.col("duration") / span)), "id", "duration", "v", "after")
+    parity = lambda odd: F.when(F.col("left_out") == 0, 0).otherwise((F.bit_count("v") + odd) % 2)
+    key = lambda s, odd: F.xxhash64("n", s, "at", "band", "left_out", "rest", parity(odd)).alias("key")
+    shorter = keyed.select(key(F.floor(F.col("duration") / span), 0), "id", "duration", "v", "after")
     spans = F.sequence(F.floor((F.col("duration") - 2 * gate) / span), F.floor(F.col("duration") / span))
-    return shorter, keyed.withColumn("span", F.explode(spans)).select(key("span"), "id", "duration", "v", "after")
+    return shorter, keyed.withColumn("span", F.explode(spans)).select(key("span", 1), "id", "duration", "v", "after")
 
 
 def video_pairs(signatures: DataFrame, threshold: float = 0.9, gate: float = 5.0, bits: int = 256) -> DataFrame:
